@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, warc
+from . import html_extract, mixing, packing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +31,27 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.tokenize(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=(3, 2), most=2, seed="mix")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
     "op2_warc_transactions": op2_warc_transactions,
+    "op3_best_two_fit": op3_best_two_fit,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLE: dict[str, str] = {
@@ -47,4 +65,34 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> holder THEN holder END AS refers_to
 FROM p JOIN h USING (hex)""",
+    "op10_source_mixing": """
+WITH d AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w
+  FROM d GROUP BY source
+), o AS (
+  SELECT *, 2 * source_size AS cap, row_number() OVER (ORDER BY 2 * source_size / w, w, source NULLS LAST) AS k FROM s
+), c AS (
+  SELECT *, coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS capped,
+    sum(w) OVER (ORDER BY k DESC)::BIGINT AS free, (sum(source_size) OVER ()) * 3 / 2 AS whole
+  FROM o
+), f AS (SELECT capped, free, whole FROM c WHERE cap > (whole - capped) * w / free ORDER BY k LIMIT 1
+), t AS (
+  SELECT source, source_size, least(cap::DOUBLE, coalesce((f.whole - f.capped) * w / f.free, cap::DOUBLE)) AS target
+  FROM o LEFT JOIN f ON true
+), b AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS rounds FROM t
+), g AS (
+  SELECT source, left(h, 12) AS p, sum(size)::BIGINT AS n FROM d GROUP BY ALL
+), r AS (
+  SELECT source, p, n, sum(n) OVER (PARTITION BY source ORDER BY p) AS upto FROM g
+), x AS (
+  SELECT r.source, r.p, (upto <= budget OR (upto - n <= budget AND upto - budget < budget - (upto - n))) AS yes
+  FROM r JOIN (SELECT *, target - rounds * source_size AS budget FROM b) b ON r.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source_size, target, size * least(rounds + yes::BIGINT, 2) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source JOIN x ON d.source IS NOT DISTINCT FROM x.source AND left(d.h, 12) = x.p""",
 }
