@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, packing, warc
+from . import html_extract, mixing, neardup, packing, tiff, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,28 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
 
 
+def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tiff.store(table(spark, sf_dir, "documents"), width=64, compression=tiff.DEFLATE)
+    stored = stored.withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    pages = tiff.read_pages(stored)
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "page",
+        "error",
+    )
+
+
+def op7_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=(3, 2), most=2, seed="mix")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -51,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_main_text": op1_html_main_text,
     "op2_warc_transactions": op2_warc_transactions,
     "op3_best_two_fit": op3_best_two_fit,
+    "op4_tiff_pages": op4_tiff_pages,
+    "op7_odd_sketch_neardup": op7_odd_sketch_neardup,
     "op10_source_mixing": op10_source_mixing,
 }
 
