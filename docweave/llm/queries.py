@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, mixing, neardup, packing, tiff, warc
+from . import html_extract, langid, mixing, neardup, packing, quality, tiff, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,18 @@ def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_sample=quality.MAX_SAMPLE)
+
+
 def op7_odd_sketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=(3, 2), most=2, seed="mix")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -74,7 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_transactions": op2_warc_transactions,
     "op3_best_two_fit": op3_best_two_fit,
     "op4_tiff_pages": op4_tiff_pages,
+    "op6_random_index_quality": op6_random_index_quality,
     "op7_odd_sketch_neardup": op7_odd_sketch_neardup,
+    "op8_bitmask_langid": op8_bitmask_langid,
     "op10_source_mixing": op10_source_mixing,
 }
 
