@@ -9,7 +9,8 @@ from .common import written
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of")
+    """The smallest neighbour of each node; written, so that a node with very many neighbours can be split where the two are joined."""
+    return written(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "of"), "least")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:

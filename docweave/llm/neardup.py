@@ -280,7 +280,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
 
     each = map_batches(classes.select("node", "band_keys"), exploded, f"node {id_type}, bucket long")
     buckets = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    buckets = buckets.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    # tables of one row a bucket are written before they are joined, so that a large bucket can be split there
+    buckets = written(buckets.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "buckets")
     member = written(each.join(buckets, "bucket"), "members")
     near = written(full_sets(docs, member.select("node").distinct(), k, id_col, text_col), "shingles")
     sketches = near.select("node", "sketch")
@@ -311,7 +312,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     labelled = member.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     split = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("n_components")).where("n_components > 1")
-    open_ = labelled.join(split, "bucket").withColumn("rest", F.col("component") != F.col("main"))
+    open_ = labelled.join(written(split, "split"), "bucket").withColumn("rest", F.col("component") != F.col("main"))
     open_ = open_.withColumn("chunk", F.explode(F.when(F.col("rest"), all_chunks).otherwise(F.array(own))))
     keys = classes.groupBy("node").agg(F.first("band_keys").alias("band_keys"))
     open_ = open_.select("bucket", "chunk", "chunks", "node", "component", "rest").join(sketches, "node").join(keys, "node")

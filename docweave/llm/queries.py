@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, mixing, neardup, packing, quality, tiff, warc
+from . import covertree, html_extract, langid, linededup, mixing, neardup, packing, quality, tiff, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_dual_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
+
+
 def op6_random_index_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), max_sample=quality.MAX_SAMPLE)
 
@@ -72,6 +76,12 @@ def op8_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=linededup.MIN_WORDS)
+    spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return cut.select("doc_id", "text", "n_units", "n_removed", "removed_chars", spans.alias("removed_spans"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=(3, 2), most=2, seed="mix")
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -82,9 +92,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_warc_transactions": op2_warc_transactions,
     "op3_best_two_fit": op3_best_two_fit,
     "op4_tiff_pages": op4_tiff_pages,
+    "op5_dual_tree_top_k": op5_dual_tree_top_k,
     "op6_random_index_quality": op6_random_index_quality,
     "op7_odd_sketch_neardup": op7_odd_sketch_neardup,
     "op8_bitmask_langid": op8_bitmask_langid,
+    "op9_line_dedup": op9_line_dedup,
     "op10_source_mixing": op10_source_mixing,
 }
 
@@ -99,6 +111,16 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id = holder THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> holder THEN holder END AS refers_to
 FROM p JOIN h USING (hex)""",
+    "op5_dual_tree_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 5""",
     "op10_source_mixing": """
 WITH d AS (
   SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h,

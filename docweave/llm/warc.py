@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare, scratch_path
+from .common import map_batches, prepare, scratch_path, written
 
 SEGMENT_BYTES = 8 << 20
 #: Names of the WARC 1.1 format.
@@ -81,7 +81,7 @@ def plan(rows: DataFrame, min_payload_bytes: int) -> DataFrame:
     """
     each = rows.where(F.col("payload_bytes") >= min_payload_bytes).groupBy("id", "digest").agg(F.count("*").alias("n"))
     holders = each.groupBy("digest").agg(F.max("id").alias("holder"), F.sum("n").alias("all_n")).where("all_n > 1").select("digest", "holder")
-    again = each.join(holders, "digest").select("id", "digest", F.when(F.col("id") != F.col("holder"), F.col("holder")).alias("holder"), (F.col("n") > 1).alias("repeated"))
+    again = each.join(written(holders, "holders"), "digest").select("id", "digest", F.when(F.col("id") != F.col("holder"), F.col("holder")).alias("holder"), (F.col("n") > 1).alias("repeated"))
     return again.where("repeated OR holder IS NOT NULL")
 
 
