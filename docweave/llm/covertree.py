@@ -62,8 +62,8 @@ def build(x: np.ndarray, points: np.ndarray | None = None, centre: int | None =
             at = int(left[0])
             nearest = np.sqrt(((x[left] - x[at]) ** 2).sum(axis=1))
     # lone centres share leaves: a net in many dimensions has mostly those
-    small = [g for g in groups if len(g[1]) <= LEAF // 2]
-    node.children = [build(x, p, c, d) for c, p, d in groups if len(p) > LEAF // 2]
+    small = [g for g in groups if len(g[1]) <= 2]
+    node.children = [build(x, p, c, d) for c, p, d in groups if len(p) > 2]
     if small:
         rest = np.concatenate([p for _, p, _ in small])
         for begin in range(0, len(rest), LEAF * 8):
@@ -168,7 +168,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_
 
     Components are floor(scale * x) in doubles. Vectors that are null or hold null or non-finite components take no part, nor do rows without
     an id. A row is no candidate of its own id. Repeated rows count once; of different vectors with one id the largest is taken.
-    Vectors of different lengths are compared as if the shorter ended in zeros. Scores beyond a long are cut to its range. Other columns are
+    Vectors of different lengths are compared as if the shorter ended in zeros. Components and scores beyond a long are cut to its range, where they tie. Other columns are
     not read.
     """
     v = F.transform(vectors[vector_col].cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))

@@ -4,7 +4,8 @@ A unit is a line, cut further where its own words say so: before a word whose ha
 passage falls into the same units wherever in a line it was pasted, and units hold about a dozen words at most. Units are normalised
 (case, white space) and hashed; digests are grouped over all documents, and the earliest occurrence by document rank and position is
 kept. Of the other occurrences, those in a run of neighbouring ones with at least ``min_words`` words in all are removed, so that a
-short line that many documents happen to share stays. Removed spans keep the offsets that they had in the whole text.
+short line that many documents happen to share stays. At a run's ends, units that occur more than ``COMMON`` times as often as the run's
+median word are no part of it: a common heading above a repeated passage stays too. Removed spans keep the offsets that they had in the whole text.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from .neardup import mixed
 #: Words on either side among which a cut's hash is the smallest.
 REACH = 6
 MIN_WORDS = 24
+COMMON = 1.25
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -104,19 +106,26 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     per document from units that are repeats.
     """
     rows = unit_rows(docs, id_col, text_col)
-    earliest = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    earliest = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
     # written, so that it comes to the join by a shuffle of its own and a digest that very many units share can be split
-    again = rows.join(written(earliest, "earliest"), "digest").where(F.struct("doc_id", "unit") != F.col("first")).select("doc_id", "unit", "words")
-    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("unit", "words"))).alias("units"))
-
-
-def runs(numbers: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """The numbers of the units in runs of neighbouring ones that have ``min_words`` words or more."""
-    if not len(numbers):
-        return numbers
-    first = np.flatnonzero(np.r_[True, np.diff(numbers) > 1])
-    total = np.add.reduceat(words, first)
-    return numbers[np.repeat(total >= min_words, np.diff(np.r_[first, len(numbers)]))]
+    again = rows.join(written(earliest, "earliest"), "digest").where(F.struct("doc_id", "unit") != F.col("first")).select("doc_id", "unit", "words", "n")
+    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("unit", "words", "n"))).alias("units"))
+
+
+def runs(numbers: np.ndarray, words: np.ndarray, often: np.ndarray, min_words: int) -> np.ndarray:
+    """The numbers of the units in runs of neighbouring ones that have ``min_words`` words or more, without common units at their ends."""
+    out = []
+    cuts = np.flatnonzero(np.diff(numbers) > 1) + 1
+    for number, size, n in zip(np.split(numbers, cuts), np.split(words, cuts), np.split(often, cuts), strict=True):
+        if size.sum() < min_words:
+            continue
+        order = np.argsort(n, kind="stable")
+        median = n[order][np.searchsorted(np.cumsum(size[order]), size.sum() / 2)]
+        own = np.flatnonzero(n <= COMMON * median)
+        first, last = own[0], own[-1] + 1
+        if size[first:last].sum() >= min_words:
+            out.append(number[first:last])
+    return np.concatenate(out) if out else numbers[:0]
 
 
 def cut(text: str, removed: np.ndarray, numbers: tuple[np.ndarray, np.ndarray]) -> tuple[str, list[tuple[int, int]]]:
@@ -168,7 +177,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             removed = np.empty(0, np.int64)
             if found.is_valid:
                 both = found.values.flatten()
-                removed = runs(both[0].to_numpy().astype(np.int64), both[1].to_numpy().astype(np.int64), min_words)
+                removed = runs(*(b.to_numpy().astype(np.int64) for b in both), min_words)
                 removed = removed[removed < len(start)]
             out = []
             if len(removed):
