@@ -13,8 +13,8 @@ from docweave.operators import registry, segments, text
 
 from .base import Tables, query
 
-SURNAMES = "varda hollin marek ossian tello brandt keene lorca".split()
-GIVEN = "ilena mira tomas petra anders ruth".split()
+SURNAMES = "amberly castor dunmore fenwick garrow halden iverly jessop".split()
+GIVEN = "nora milo tessa arlo judith peter".split()
 
 
 def names(t: Tables) -> DataFrame:
