@@ -153,45 +153,43 @@ def cut(text: str, removed: np.ndarray, numbers: tuple[np.ndarray, np.ndarray])
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the text left after removal, and n_units, n_removed, removed_chars and removed_spans (start and end code points in the whole text).
+    """``docs`` with the text left after removal, and n_removed, removed_chars and removed_spans (start and end code points in the whole text).
 
     Ranks are ids, then positions, smallest first. Null and blank texts stay as they are, and so do texts without repeats; rows without an id
     are neither searched nor changed. A text that only repeats others becomes empty. Rows that share an id and text are cut alike. Columns
     of the added names are replaced; all others are kept.
     """
     prepare(docs.sparkSession)
-    added = ["n_units", "n_removed", "removed_chars", "removed_spans", "repeats_"]
+    added = ["n_removed", "removed_chars", "removed_spans", "repeats_"]
     base = docs.drop(*added)
     if base.schema[text_col].dataType.simpleString() != "string":
         base = base.withColumn(text_col, F.col(text_col).cast("string"))
     gone = repeated(base, id_col, text_col).select(F.col("doc_id").alias("id_"), F.col("units").alias("repeats_"))
     joined = base.join(gone, base[id_col] == gone["id_"], "left").drop("id_")
     at, names = base.columns.index(text_col), base.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["n_units int, n_removed int, removed_chars long, removed_spans array<struct<start:int,end:int>>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["n_removed int, removed_chars long, removed_spans array<struct<start:int,end:int>>"])
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, counts, taken, chars, spans = [], [], [], [], []
+        texts, taken, chars, spans = [], [], [], []
         for text, found in zip(batch.column(at).to_pylist(), batch.column(len(names)), strict=True):
-            start, end, _, _ = units((text or "").encode("utf-8"))
-            removed = np.empty(0, np.int64)
+            removed, out = (), []
             if found.is_valid:
-                both = found.values.flatten()
-                removed = runs(*(b.to_numpy().astype(np.int64) for b in both), min_words)
-                removed = removed[removed < len(start)]
-            out = []
+                removed = runs(*(b.to_numpy().astype(np.int64) for b in found.values.flatten()), min_words)
             if len(removed):
+                # only texts that lose something are cut into units again
+                start, end, _, _ = units((text or "").encode("utf-8"))
+                removed = removed[removed < len(start)]
                 text, out = cut(text, removed, (start, end))
             texts.append(text)
-            counts.append(len(start))
             taken.append(len(removed))
             chars.append(sum(b - a for a, b in out))
             spans.append([{"start": a, "end": b} for a, b in out])
         columns = list(batch.columns[: len(names)])
         columns[at] = pa.array(texts, pa.string())
         return pa.RecordBatch.from_arrays(
-            [*columns, pa.array(counts, pa.int32()), pa.array(taken, pa.int32()), pa.array(chars, pa.int64()), pa.array(spans, pa.list_(span))],
-            names=[*names, *added[:4]],
+            [*columns, pa.array(taken, pa.int32()), pa.array(chars, pa.int64()), pa.array(spans, pa.list_(span))],
+            names=[*names, *added[:3]],
         )
 
     return map_batches(joined, rows, schema)

@@ -79,7 +79,7 @@ def op8_bitmask_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=linededup.MIN_WORDS)
     spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
-    return cut.select("doc_id", "text", "n_units", "n_removed", "removed_chars", spans.alias("removed_spans"))
+    return cut.select("doc_id", "text", "n_removed", "removed_chars", spans.alias("removed_spans"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
