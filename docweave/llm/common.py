@@ -58,3 +58,24 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch |
                     yield out
 
     return df.mapInArrow(over, schema)
+
+
+class Recent(dict):
+    """A cache by ``make`` that holds the keys used lately, ``limit`` of them at most; long keys aren't kept.
+
+    A worker lives through many stages, so what it keeps counts against its executor's memory.
+    """
+
+    def __init__(self, make: Callable, limit: int) -> None:
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= 64:
+            self[key] = value
+        return value

@@ -10,15 +10,13 @@ median word are no part of it: a common heading above a repeated passage stays t
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, prepare, written
-from .neardup import mixed
+from .neardup import mixed, word_hashes
 
 #: Words on either side among which a cut's hash is the smallest.
 REACH = 6
@@ -29,19 +27,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = zlib.crc32(word) | (zlib.adler32(word) << 32)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-_hashes = _Hashes()
-
-
 def units(text: bytes, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first byte, end byte, words, digest) of the units of a text in UTF-8. White space between units belongs to none."""
     lower = text.lower()
@@ -49,7 +34,7 @@ def units(text: bytes, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.n
     none = np.empty(0, np.int64)
     if not words:
         return none, none, none, np.empty(0, np.uint64)
-    h = mixed(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+    h = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
     data = np.frombuffer(text, np.uint8)
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(np.r_[True, space, True].astype(np.int8)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare, written
+from .common import Recent, map_batches, prepare, written
 from .components import components
 
 ROWS_PER_BAND = 4
@@ -52,19 +52,12 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0x51ED27F5 & _MASK))
 
 
-class _Words(dict):
-    """Word to its hash; emptied when it has grown large."""
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            self[word] = h
-        return h
 
-
-_words = _Words()
+#: Hashes of the words that a worker met lately.
+word_hashes = Recent(word_hash, 200_000)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -75,7 +68,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode("utf-8").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hashes.__getitem__, words), np.uint64, len(words))
     width = min(k, len(h))
     out = np.full(len(h) - width + 1, width, np.uint64)
     for j in range(width):

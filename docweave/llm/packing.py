@@ -23,8 +23,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_batches, prepare, written
 
-#: Distinct words whose ids a worker keeps; the cache is emptied beyond that.
-CACHE_WORDS = 500_000
+#: Distinct words whose ids a worker keeps at most, those met lately.
+CACHE_WORDS = 300_000
 
 
 class Encoder:
@@ -35,6 +35,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def learn(self, words: list[str]) -> None:
         for begin in range(0, len(words), 50_000):
@@ -57,11 +58,11 @@ class Encoder:
         split = pc.split_pattern(texts, " ")
         words = pc.list_flatten(split).dictionary_encode()
         names = words.dictionary.to_pylist()
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words, self.old = {}, self.words
         new = [name for name in names if name not in self.words]
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = names
-        self.learn(new)
+        self.words.update((name, self.old[name]) for name in new if name in self.old)
+        self.learn([name for name in new if name not in self.old])
         known = [self.words[name] for name in names]
         flat = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare
+from .common import Recent, map_batches, prepare
 from .langid import remainder
 
 #: Buckets of each of the four kinds of words.
@@ -37,17 +37,7 @@ def bucket_of(word: str) -> int:
     return kind * BUCKETS + zlib.crc32(word.lower().encode("utf-8", "replace")) % BUCKETS
 
 
-class _Buckets(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        b = bucket_of(word)
-        if len(word) <= 64:
-            self[word] = b
-        return b
-
-
-_buckets = _Buckets()
+_buckets = Recent(bucket_of, 200_000)
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
