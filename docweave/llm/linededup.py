@@ -5,7 +5,9 @@ passage falls into the same units wherever in a line it was pasted, and units ho
 (case, white space) and hashed; digests are grouped over all documents, and the earliest occurrence by document rank and position is
 kept. Of the other occurrences, those in a run of neighbouring ones with at least ``min_words`` words in all are removed, so that a
 short line that many documents happen to share stays. At a run's ends, units that occur more than ``COMMON`` times as often as the run's
-median word are no part of it: a common heading above a repeated passage stays too. Removed spans keep the offsets that they had in the whole text.
+median word are no part of it: a common heading above a repeated passage stays too. Where such units have ``min_words`` words or more at one end,
+they are a run of their own: a popular passage beside a rarer one goes, and fewer than ``min_words`` words stay at either end. Removed spans
+keep the offsets that they had in the whole text.
 """
 
 from __future__ import annotations
@@ -97,19 +99,33 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("unit", "words", "n"))).alias("units"))
 
 
+def _stretches(size: np.ndarray, n: np.ndarray, first: int, last: int, min_words: int, whole: bool) -> list[tuple[int, int]]:
+    """The stretches to remove of the neighbouring units from ``first`` to ``last``. If ``whole``, they all go where no ``min_words`` are left between common ends."""
+    words = int(size[first:last].sum())
+    if words < min_words:
+        return []
+    order = first + np.argsort(n[first:last], kind="stable")
+    median = n[order][np.searchsorted(np.cumsum(size[order]), words / 2)]
+    own = first + np.flatnonzero(n[first:last] <= COMMON * median)
+    left, right = int(own[0]), int(own[-1]) + 1
+    middle = [(left, right)]
+    if size[left:right].sum() < min_words:
+        if whole:
+            return [(first, last)]
+        middle = []
+    # what is trimmed occurs more often than the median by a factor, so this ends soon
+    return _stretches(size, n, first, left, min_words, True) + middle + _stretches(size, n, right, last, min_words, True)
+
+
 def runs(numbers: np.ndarray, words: np.ndarray, often: np.ndarray, min_words: int) -> np.ndarray:
-    """The numbers of the units in runs of neighbouring ones that have ``min_words`` words or more, without common units at their ends."""
+    """The numbers of the units in runs of neighbouring ones that have ``min_words`` words or more, without common units at their ends.
+
+    Common units at an end that have ``min_words`` words or more themselves are a run of their own.
+    """
     out = []
     cuts = np.flatnonzero(np.diff(numbers) > 1) + 1
     for number, size, n in zip(np.split(numbers, cuts), np.split(words, cuts), np.split(often, cuts), strict=True):
-        if size.sum() < min_words:
-            continue
-        order = np.argsort(n, kind="stable")
-        median = n[order][np.searchsorted(np.cumsum(size[order]), size.sum() / 2)]
-        own = np.flatnonzero(n <= COMMON * median)
-        first, last = own[0], own[-1] + 1
-        if size[first:last].sum() >= min_words:
-            out.append(number[first:last])
+        out += [number[a:b] for a, b in _stretches(size, n, 0, len(number), min_words, False)]
     return np.concatenate(out) if out else numbers[:0]
 
 

@@ -158,6 +158,32 @@ def test_dedup_against_plain_version(spark):
     assert not any(s for i, s in want.items() if i < 80 and i % 3 and i % 7)
 
 
+@pytest.mark.parametrize("popular_first", [True, False])
+def test_popular_passage_beside_a_rarer_one(spark, popular_first):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"p{rng.randrange(10**6)}" for _ in range(n))
+    header, popular, rare = "A short header line", line(60), line(100)
+    both = [popular, rare] if popular_first else [rare, popular]
+    docs = [(i, "\n".join([line(30), popular, line(30)])) for i in range(40)]
+    docs += [(i, "\n".join([line(30), *both, line(30)])) for i in (50, 51)]
+    docs += [(i, "\n".join([header, line(40)])) for i in range(60, 160)] + [(200, "\n".join([header, *both, header]))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, 9) for i, t in docs], DOCS)
+    got = {r.doc_id: r.text for r in linededup.dedup(frame).collect()}
+    assert [i for i, t in got.items() if popular in t] == [0] and [i for i, t in got.items() if rare in t] == [50]
+    assert got[200] == f"{header}\n{header}"
+    assert [got[i] for i in range(60, 160)] == [t for i, t in docs if 60 <= i < 160]
+
+
+def test_runs_keep_short_common_ends():
+    # numbers of units, their words and counts: the reviewed case, a heading above it, and ends that hold two popular passages
+    run = lambda words, often: linededup.runs(np.arange(len(words)), np.array(words), np.array(often), 24).tolist()
+    assert run([12] * 5 + [10] * 10, [3000] * 5 + [2] * 10) == list(range(15))
+    assert run([4] + [12] * 5 + [10] * 10, [9000] + [3000] * 5 + [2] * 10) == list(range(1, 16))
+    assert run([10] * 10 + [4], [2] * 10 + [9000]) == list(range(10))
+    assert run([20, 20] + [10] * 10, [9000, 3000] + [2] * 10) == list(range(12))
+    assert run([23, 23], [9000, 2]) == [] and run([23], [2]) == []
+
+
 def test_units_cover_words_and_keep_lines():
     text = "one two\nthree  four\r\nfive " + "six " * 40 + "\n\n" + " ".join(f"w{k}" for k in range(200))
     start, end, words, _ = linededup.units(text.encode())
