@@ -1,7 +1,7 @@
 """Substring deduplication by hashing lines.
 
 A unit is a line, cut further where its own words say so: before a word whose hash is the smallest of the words around it, so that the same
-passage falls into the same units wherever in a line it was pasted, and units hold about a dozen words at most. Units are normalised
+passage falls into the same units wherever in a line it was pasted, and units hold about seven words. Units are normalised
 (case, white space) and hashed; digests are grouped over all documents, and the earliest occurrence by document rank and position is
 kept. Of the other occurrences, those in a run of neighbouring ones with at least ``min_words`` words in all are removed, so that a
 short line that many documents happen to share stays. At a run's ends, units that occur more than ``COMMON`` times as often as the run's
@@ -21,7 +21,7 @@ from .common import map_batches, prepare, written
 from .neardup import mixed, word_hashes
 
 #: Words on either side among which a cut's hash is the smallest.
-REACH = 6
+REACH = 3
 MIN_WORDS = 24
 COMMON = 1.25
 

@@ -184,6 +184,17 @@ def test_runs_keep_short_common_ends():
     assert run([23, 23], [9000, 2]) == [] and run([23], [2]) == []
 
 
+def test_passages_inside_lines_are_caught(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passages = [line(51) for _ in range(300)]
+    docs = [(1000 * k + i, f"{line(60)} {p} {line(60)}") for k in (0, 1) for i, p in enumerate(passages)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, 9) for i, t in docs], DOCS)
+    got = {r.doc_id: r.n_removed for r in linededup.dedup(frame).collect()}
+    assert not any(got[i] for i in range(300))
+    assert sum(got[1000 + i] == 0 for i in range(300)) <= 1  # 31 with a reach of 6
+
+
 def test_units_cover_words_and_keep_lines():
     text = "one two\nthree  four\r\nfive " + "six " * 40 + "\n\n" + " ".join(f"w{k}" for k in range(200))
     start, end, words, _ = linededup.units(text.encode())
