@@ -4,7 +4,9 @@ The standard-library parser's events are turned, in one streaming pass, into lin
 block-level tags, with the number of tags met since the line before it. Each line has a text-to-tag ratio. The ratios,
 smoothed with a Gaussian kernel over the neighbouring lines, are split by a threshold found by two-means clustering;
 lines above it are content. A region is a container element (article, main, section, div, table cell, body). The
-region with the most smoothed content is selected, and with it all its lines in page order, short ones too.
+region with the most smoothed content is selected, and with it all its lines in page order, short ones too. Articles go
+before other regions if one holds content: the one with the most, others at least half of whose text is content, and
+others at least half as long.
 Elements that hold no article text by their tag, role, class or id (menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles, reader comments) yield no line at all.
 """
@@ -199,16 +201,22 @@ def main_text(html: str, sigma: float = 1.0) -> tuple[str, int, int]:
     ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]), sigma)
     content = ratios >= threshold(ratios)
     mass: dict[int, float] = {}
+    size: dict[int, int] = {}
     for (text, _, path), is_content in zip(lines, content, strict=True):
         for region in path:
             mass[region] = mass.get(region, 0.0) + (len(text) if is_content else 0)
+            size[region] = size.get(region, 0) + len(text)
     total = mass[0]
-    # articles first, then main; of other regions the deepest that still holds nearly all of the content
+    # articles that hold content first, then main; of other regions the deepest that still holds nearly all of the content
     best = 0
-    articles = [r for r, kind in kinds.items() if kind == "article" and r in mass]
+    articles = [r for r, kind in kinds.items() if kind == "article" and mass.get(r, 0)]
     if articles:
-        chosen = {r for r in articles}
-        keep = [line for line in lines if not chosen.isdisjoint(line[2])]
+        # the one with the most content, and others that are mostly content or half as long, whose lines lie under the threshold by their
+        # markup; a line goes by the innermost article around it
+        first = max(articles, key=lambda r: mass[r])
+        chosen = {r for r in size if kinds[r] == "article" and (mass[r] == mass[first] or mass[r] >= 0.5 * size[r] or size[r] >= 0.5 * size[first])}
+        inner = [next((r for r in reversed(path) if kinds[r] == "article"), 0) for _, _, path in lines]
+        keep = [line for line, r in zip(lines, inner, strict=True) if r in chosen]
     else:
         mains = [r for r, kind in kinds.items() if kind == "main" and mass.get(r, 0)]
         if mains:

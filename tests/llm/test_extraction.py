@@ -33,6 +33,26 @@ def test_main_text(html, text):
     assert html_extract.main_text(html)[0] == text
 
 
+WORDS = "A sentence of the story that goes on for a while, as sentences of stories do. " * 4
+CARD = "<article><a href=x><img src=y><h3><b>More</b></h3></a><p><a href=z><i>Teaser</i></a></p></article>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<article><h1>Title</h1><p>{WORDS}</p><p>Short.</p><p>{WORDS}</p></article><div>{CARD * 3}</div>",
+        f"<div>{CARD * 2}</div><article><h1>Title</h1><p>{WORDS}</p><p>Short.</p><p>{WORDS}</p>{CARD}</article>",
+        f"<div>{CARD * 3}</div><div><h1>Title</h1><p>{WORDS}</p><p>Short.</p><p>{WORDS}</p></div>",
+    ],
+)
+def test_smoothed_content_chooses_articles(html):
+    assert html_extract.main_text(html)[0] == f"Title {WORDS}Short. {WORDS}".strip()
+
+
+def test_all_articles_with_content_stay():
+    assert html_extract.main_text(f"<article><p>{WORDS}</p></article><article><p>{WORDS}</p></article>")[0] == f"{WORDS}{WORDS}".strip()
+
+
 def test_smoothing_and_threshold():
     flat = html_extract.smoothed(np.full(7, 3.0))
     assert np.allclose(flat, 3.0)
