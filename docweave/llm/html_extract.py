@@ -8,7 +8,8 @@ region with the most smoothed content is selected, and with it all its lines in
 before other regions if one holds content: the one with the most, others at least half of whose text is content, and
 others at least half as long.
 Elements that hold no article text by their tag, role, class or id (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) yield no line at all.
+adverts, forms, scripts, styles, reader comments) yield no line at all. By class or id alone no element is dropped that holds
+the article or main with the most content, or nearly all content of the page: a wrapper may name the sidebar that it lays out.
 """
 
 from __future__ import annotations
@@ -53,27 +54,32 @@ _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """0: wanted, 1: not by its class or id, 2: not by its tag, role or style."""
     if tag in DROPPED:
-        return True
+        return 2
     if tag in HEADINGS or tag in ("html", "body", "main"):
-        return False
+        return 0
+    found = 0
     words = COMMENT_WORDS if tag == "article" else DROPPED_WORDS
     for name, value in attrs:
         if name in ("class", "id") and value:
             if not words.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", value).lower())):
-                return True
+                found = 1
         elif name == "role" and value and value.strip().lower() in DROPPED_ROLES:
-            return True
+            return 2
         elif name == "hidden" or (name == "aria-hidden" and (value or "").lower() == "true"):
-            return True
+            return 2
         elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+    return found
 
 
 class _Lines(HTMLParser):
-    """Parser events to lines: (text, tags since the line before, path of open regions)."""
+    """Parser events to lines: (text, tags since the line before, path of open regions).
+
+    ``pieces`` has, for lines with text in elements that are unwanted by class or id, that text piece by piece and the numbers of the elements.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -85,6 +91,13 @@ class _Lines(HTMLParser):
         self.kinds: dict[int, str] = {0: "page"}
         self.parts: list[str] = []
         self.tags = 0
+        self.suspects: list[tuple[int, int]] = []  # (number, depth) of open elements that are unwanted by class or id
+        self.inside: tuple[int, ...] = ()  # their numbers
+        self.n_suspects = 0
+        self.part_suspects: list[tuple[int, ...]] = []
+        self.pieces: dict[int, list[tuple[str, tuple[int, ...]]]] = {}  # by number of line
+        self.around: dict[int, tuple[int, ...]] = {}  # by region, the suspects around it
+        self.own: set[int] = set()  # regions that are suspects themselves
 
     def updatepos(self, i: int, j: int) -> int:  # line numbers aren't asked for
         return j
@@ -92,10 +105,13 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
-            self.parts.clear()
             if text:
+                if any(self.part_suspects):
+                    self.pieces[len(self.lines)] = list(zip(self.parts, self.part_suspects, strict=True))
                 self.lines.append((text, self.tags, tuple(n for n, _ in self.regions)))
                 self.tags = 0
+            self.parts.clear()
+            self.part_suspects.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -105,13 +121,22 @@ class _Lines(HTMLParser):
                 self._close_p()
         if tag in VOID:
             return
-        if _unwanted(tag, attrs):
+        unwanted = _unwanted(tag, attrs)
+        if unwanted == 2:
             self.unwanted.append(len(self.open))
-        elif tag == "header":
-            self.header.append(len(self.open))
+        else:
+            if tag == "header":
+                self.header.append(len(self.open))
+            if unwanted and not self.unwanted:
+                self.suspects.append((self.n_suspects, len(self.open)))
+                self.inside += (self.n_suspects,)
+                self.n_suspects += 1
         if tag in REGIONS and not self.unwanted:
             number = len(self.kinds)
             self.kinds[number] = tag
+            self.around[number] = self.inside
+            if unwanted:
+                self.own.add(number)
             self.regions.append((number, len(self.open)))
         self.open.append(tag)
 
@@ -131,6 +156,9 @@ class _Lines(HTMLParser):
                 stack.pop()
         while self.regions[-1][1] >= depth:
             self.regions.pop()
+        while self.suspects and self.suspects[-1][1] >= depth:
+            self.suspects.pop()
+            self.inside = self.inside[:-1]
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -157,6 +185,7 @@ class _Lines(HTMLParser):
         if self.header and not (any(t in HEADINGS for t in self.open[self.header[-1] :]) and any(self.kinds[n] in ("article", "main") for n, _ in self.regions)):
             return
         self.parts.append(data)
+        self.part_suspects.append(self.inside)
 
     def close(self) -> None:
         super().close()
@@ -186,20 +215,67 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int, str]]:
+def _content(lines: list[tuple[str, int, tuple[int, ...]]], sigma: float) -> np.ndarray:
+    """Which lines are content."""
+    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]), sigma)
+    return ratios >= threshold(ratios)
+
+
+def _spared(parser: _Lines, sigma: float) -> set[int]:
+    """The suspects that stay: those around the article or main with the most content, or around nearly all content and most text of the page."""
+    content = _content(parser.lines, sigma)
+    mass: dict[int, int] = {}
+    held: dict[int, list[int]] = {}
+    total = [0, 0]  # of content, of all text
+    for k, ((text, _, path), is_content) in enumerate(zip(parser.lines, content, strict=True)):
+        total[0] += len(text) * is_content
+        total[1] += len(text)
+        if is_content:
+            for region in path:
+                mass[region] = mass.get(region, 0) + len(text)
+        for piece, suspects in parser.pieces.get(k, ()):
+            size = len(" ".join(piece.split()))
+            for suspect in suspects:
+                n = held.setdefault(suspect, [0, 0])
+                n[0] += size * is_content
+                n[1] += size
+    # lines of one density are split too, so most of the text must be held as well
+    out = {suspect for suspect, n in held.items() if n[0] >= 0.8 * total[0] and 3 * n[1] >= 2 * total[1]}
+    for kind in ("article", "main"):
+        regions = [r for r in mass if parser.kinds[r] == kind and r not in parser.own]
+        if regions:
+            out.update(parser.around[max(regions, key=lambda r: mass[r])])
+            break
+    if not out and all(all(suspects for piece, suspects in parser.pieces.get(k, [("x", ())]) if piece.strip()) for k in range(len(parser.lines))):
+        out = {suspect for suspect, n in held.items() if n[0]}  # rather than no text at all, all that hold content
+    return out
+
+
+def lines_of(html: str, sigma: float = 1.0) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int, str]]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    return parser.lines, parser.kinds
+    if not parser.pieces:
+        return parser.lines, parser.kinds
+    spared = _spared(parser, sigma)
+    lines, before = [], 0
+    for k, (text, tags, path) in enumerate(parser.lines):
+        if k in parser.pieces:
+            text = " ".join("".join(piece for piece, suspects in parser.pieces[k] if spared.issuperset(suspects)).split())
+        if text:
+            lines.append((text, tags + before, path))
+            before = 0
+        else:
+            before += tags
+    return lines, parser.kinds
 
 
 def main_text(html: str, sigma: float = 1.0) -> tuple[str, int, int]:
     """(main text, lines in all, lines kept)."""
-    lines, kinds = lines_of(html)
+    lines, kinds = lines_of(html, sigma)
     if not lines:
         return "", 0, 0
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]), sigma)
-    content = ratios >= threshold(ratios)
+    content = _content(lines, sigma)
     mass: dict[int, float] = {}
     size: dict[int, int] = {}
     for (text, _, path), is_content in zip(lines, content, strict=True):

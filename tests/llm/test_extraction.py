@@ -53,6 +53,19 @@ def test_all_articles_with_content_stay():
     assert html_extract.main_text(f"<article><p>{WORDS}</p></article><article><p>{WORDS}</p></article>")[0] == f"{WORDS}{WORDS}".strip()
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-ads", "with-comments", "share-enabled"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_wrappers_with_class_words_keep_the_text(name, inner):
+    aside = "<div class=sidebar><p>Side.</p></div><div class='related'><article><p>Card.</p></article></div><div id=comments><p>Nice.</p><p>Yes.</p></div>"
+    html = f"<body><div class='{name}'><{inner}><h1>Title</h1><p>{WORDS}</p><p>Short <span class=share>Share</span> line.</p><p>{WORDS}</p></{inner}>{aside}</div></body>"
+    assert html_extract.main_text(html)[0] == f"Title {WORDS}Short line. {WORDS}".strip()
+
+
+def test_comments_longer_than_the_story_go():
+    html = f"<body><div id=story><p>{WORDS}</p><p>{WORDS}</p></div><div id=comments><p>{WORDS}</p><p>{WORDS}</p><p>{WORDS}</p></div></body>"
+    assert html_extract.main_text(html)[0] == f"{WORDS}{WORDS}".strip()
+
+
 def test_smoothing_and_threshold():
     flat = html_extract.smoothed(np.full(7, 3.0))
     assert np.allclose(flat, 3.0)
