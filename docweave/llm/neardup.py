@@ -9,7 +9,7 @@
 4. Buckets are cut into chunks of bounded size, each with the bucket's smallest class. In a chunk a maximum spanning forest by
    estimate proposes links, so a bucket of n classes proposes n - 1 at most. The links are confirmed on the full sets and joined to components.
 5. In buckets that still hold several components, every class outside the bucket's largest component is compared with all classes of
-   other components; pairs whose estimate lies within ``SIGMAS`` standard deviations of the threshold are confirmed too. So no link between
+   other components; pairs whose estimate lies within ``SIGMAS`` standard deviations (of sampling and bitmap) of the threshold are confirmed too. So no link between
    components is left out, while pairs inside one are never listed.
 """
 
@@ -33,7 +33,7 @@ ROWS_PER_BAND = 4
 MISS = 1e-6
 SKETCH_SAMPLES = 512
 SKETCH_BITS = 2048
-SIGMAS = 4.0
+SIGMAS = 5.5
 #: Classes in a chunk of a bucket.
 CHUNK = 1024
 
@@ -132,9 +132,11 @@ def estimate(one: np.ndarray, others: np.ndarray, samples: int) -> np.ndarray:
     return 1 + n / (4 * samples) * np.log(np.maximum(1 - 2 * odd / n, 1e-9))
 
 
-def least_estimate(threshold: float, samples: int) -> float:
-    """SIGMAS standard deviations of sampling under the threshold."""
-    return threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / samples)
+def least_estimate(threshold: float, samples: int, bits: int = SKETCH_BITS) -> float:
+    """SIGMAS standard deviations of sampling and of collisions in the bitmap under the threshold."""
+    toggles = 2 * samples * (1 - threshold)
+    collisions = (bits / 4 * math.expm1(4 * toggles / bits) - toggles) / (2 * samples) ** 2
+    return threshold - SIGMAS * math.sqrt(threshold * (1 - threshold) / samples + collisions)
 
 
 def forest(sketches: np.ndarray, samples: int, least: float) -> list[tuple[int, int]]:

@@ -85,6 +85,23 @@ def test_odd_sketch_estimates():
         assert abs(np.mean(errors)) < 0.015 and np.max(np.abs(errors)) < 4 * (similarity * (1 - similarity) / neardup.SKETCH_SAMPLES) ** 0.5 + 0.02
 
 
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_odd_sketches_lose_no_more_than_bands(threshold):
+    # exact for ideal hashes: samples that differ are binomial, each toggles two bits at random
+    n, samples = neardup.SKETCH_BITS, neardup.SKETCH_SAMPLES
+    least = neardup.least_estimate(threshold, samples)
+    odd = np.arange(n + 1)
+    lost = 1 + n / (4 * samples) * np.log(np.maximum(1 - 2 * odd / n, 1e-9)) < least
+    at, chance, loss = np.zeros(n + 1), (threshold) ** samples, 0.0
+    at[0] = 1
+    for m in range(samples + 1):
+        loss += chance * at[lost].sum()
+        chance *= (samples - m) / (m + 1) * (1 - threshold) / threshold
+        for _ in range(2):
+            at = np.r_[0, (at * (n - odd) / n)[:-1]] + np.r_[(at * odd / n)[1:], 0]
+    assert loss <= neardup.MISS, loss
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)] + [(7, 7), (None, 3), (300, 300)]
