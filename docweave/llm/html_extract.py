@@ -1,15 +1,17 @@
 """Main-text extraction from HTML.
 
-The standard-library parser's events are turned, in one streaming pass, into lines: a line is the text between two
-block-level tags, with the number of tags met since the line before it. Each line has a text-to-tag ratio. The ratios,
-smoothed with a Gaussian kernel over the neighbouring lines, are split by a threshold found by two-means clustering;
-lines above it are content. A region is a container element (article, main, section, div, table cell, body). The
-region with the most smoothed content is selected, and with it all its lines in page order, short ones too. Articles go
-before other regions if one holds content: the one with the most, others at least half of whose text is content, and
-others at least half as long.
-Elements that hold no article text by their tag, role, class or id (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments) yield no line at all. By class or id alone no element is dropped that holds
-the article or main with the most content, or nearly all content of the page: a wrapper may name the sidebar that it lays out.
+The standard-library parser's events are turned, in one streaming pass, into lines: a line is the text between two block-level tags, with
+the number of tags met since the line before it. Each line has a text-to-tag ratio, smoothed with a Gaussian kernel over the
+neighbouring lines. What an element says of itself by its tag, role or class is a prior that scales the smoothed ratios of the
+lines in it, and no more: two-means clustering then finds the threshold, and lines above it are content.
+
+Regions are container elements. The search for the main region goes down from the page to the innermost container that holds nearly all of the
+content, or to an article or main with most of it. In the main region all lines stay, short ones too, but for those in containers that the
+clustering rejects: ones with a prior of which less than half is content, ones made of links without any content, and articles
+without content (cards). So the page's structure says what belongs together, and the clustered ratios say which of it is the text.
+
+A page has one number of a parent for each container, and sums run once from the last container to the first: the work is linear in
+the page, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -29,149 +31,163 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span "
     "strike strong sub sup time tt u var wbr".split()
 )
-DROPPED = frozenset(
-    "head title script style noscript template svg math nav aside footer form iframe object embed canvas audio video "
-    "button select textarea input datalist menu dialog map noframes".split()
-)
+#: Elements whose content isn't shown as text.
+DROPPED = frozenset("head title script style noscript template svg math iframe object embed canvas audio video button select textarea input datalist map noframes".split())
+#: Elements that the standard has for other things than an article's text.
+ASIDE = frozenset("nav aside footer header form menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-REGIONS = frozenset("article main section div body td center blockquote".split())
+CONTAINERS = frozenset("article main section div body td center blockquote ul ol dl table figure".split()) | ASIDE
 #: Elements whose start ends an open paragraph.
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr main menu nav ol p pre search section table ul".split()
 )
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words of a class or id that mark an element as something other than the article.
-DROPPED_WORDS = frozenset(
+ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+#: First or last parts of a class or id that name something other than the article.
+ASIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored promo promos promotion promoted "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar masthead footer sidebar sidebars aside "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar masthead header footer sidebar sidebars aside "
     "widget widgets comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices alert alerts "
-    "popup modal overlay subscribe subscription newsletter signup login share sharing social related recommended recommendations "
+    "popup modal overlay subscribe subscription newsletter signup login share sharing related recommended recommendations "
     "trending skip hidden copyright disclaimer".split()
 )
-COMMENT_WORDS = frozenset("comment comments reply replies respond ad advert advertisement related promo sponsored widget".split())
-_WORDS = re.compile(r"[a-z]+")
+#: Parts that say that the name is of a state or a layout.
+STATES = frozenset("has no with without is not enabled disabled free".split())
+ARTICLE_WORDS = frozenset("comment comments reply replies respond ad advert advertisement related promo sponsored widget".split())
+_PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+PLAIN, NAMED, KIND, UNSEEN = 0, 1, 2, 3
+#: What the smoothed ratio of a line is multiplied with, by what the elements around it say: nothing, their name, their kind.
+PRIORS = np.array([1.0, 0.05, 0.0])
+#: Shares of the content that a container, or an article or main, must hold for the search to go down to it.
+NEARLY_ALL, MOST = 0.8, 0.5
+
+
+def named_aside(value: str, words: frozenset[str]) -> bool:
+    """Whether a whole name of a class or id says that the element isn't the article: sidebar, site-footer, commentList, but not has-sidebar."""
+    for name in value.split():
+        parts = _PARTS.findall(_CAMEL.sub(" ", name).lower())
+        if parts and (parts[0] in words or parts[-1] in words) and STATES.isdisjoint(parts):
+            return True
+    return False
 
 
-def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> int:
-    """0: wanted, 1: not by its class or id, 2: not by its tag, role or style."""
+def marking(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """PLAIN, NAMED (by class or id), KIND (by tag or role) or UNSEEN."""
     if tag in DROPPED:
-        return 2
+        return UNSEEN
+    found = KIND if tag in ASIDE else PLAIN
     if tag in HEADINGS or tag in ("html", "body", "main"):
-        return 0
-    found = 0
-    words = COMMENT_WORDS if tag == "article" else DROPPED_WORDS
+        return found
+    words = ARTICLE_WORDS if tag == "article" else ASIDE_WORDS
     for name, value in attrs:
-        if name in ("class", "id") and value:
-            if not words.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", value).lower())):
-                found = 1
-        elif name == "role" and value and value.strip().lower() in DROPPED_ROLES:
-            return 2
-        elif name == "hidden" or (name == "aria-hidden" and (value or "").lower() == "true"):
-            return 2
-        elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 2
+        if name == "hidden" or (name == "aria-hidden" and (value or "").lower() == "true") or (name == "style" and value and _UNSEEN.search(value)):
+            return UNSEEN
+        if name == "role" and value and value.strip().lower() in ASIDE_ROLES:
+            found = max(found, KIND)
+        elif name in ("class", "id") and value and named_aside(value, words):
+            found = max(found, NAMED)
     return found
 
 
-class _Lines(HTMLParser):
-    """Parser events to lines: (text, tags since the line before, path of open regions).
+class Lines(HTMLParser):
+    """Parser events to lines.
 
-    ``pieces`` has, for lines with text in elements that are unwanted by class or id, that text piece by piece and the numbers of the elements.
+    Line k has ``tags[k]`` tags since the line before and is made of pieces; piece i is ``pieces[i]``, a text in container ``holder[i]`` of line ``line[i]``,
+    and ``linked[i]`` of its code points are in links. Container c has ``kind[c]`` (its tag), ``parent[c]`` (a smaller number) and ``mark[c]``.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.open: list[str] = []  # open elements
-        self.unwanted: list[int] = []  # depths in ``open`` of unwanted elements
-        self.header: list[int] = []  # depths of header elements: only their headings count, and only in a region
-        self.regions: list[tuple[int, int]] = [(0, -1)]  # (region number, depth)
-        self.kinds: dict[int, str] = {0: "page"}
-        self.parts: list[str] = []
-        self.tags = 0
-        self.suspects: list[tuple[int, int]] = []  # (number, depth) of open elements that are unwanted by class or id
-        self.inside: tuple[int, ...] = ()  # their numbers
-        self.n_suspects = 0
-        self.part_suspects: list[tuple[int, ...]] = []
-        self.pieces: dict[int, list[tuple[str, tuple[int, ...]]]] = {}  # by number of line
-        self.around: dict[int, tuple[int, ...]] = {}  # by region, the suspects around it
-        self.own: set[int] = set()  # regions that are suspects themselves
+        self.tags: list[int] = []
+        self.pieces: list[str] = []
+        self.holder: list[int] = []
+        self.line: list[int] = []
+        self.linked: list[int] = []
+        self.kind, self.parent, self.mark = ["page"], [0], [PLAIN]
+        self.open: list[tuple[str, int]] = []  # open elements, and the container that each is, or 0
+        self.n_open: dict[str, int] = {}
+        self.at = [0]  # open containers
+        self.unseen = 0  # open elements that aren't shown; at most one is tracked, by its depth
+        self.parts: list[tuple[int, bool, str]] = []
+        self.since = 0
 
     def updatepos(self, i: int, j: int) -> int:  # line numbers aren't asked for
         return j
 
     def flush(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                if any(self.part_suspects):
-                    self.pieces[len(self.lines)] = list(zip(self.parts, self.part_suspects, strict=True))
-                self.lines.append((text, self.tags, tuple(n for n, _ in self.regions)))
-                self.tags = 0
-            self.parts.clear()
-            self.part_suspects.clear()
+        if not self.parts:
+            return
+        if any(not text.isspace() for _, _, text in self.parts):
+            number, before = len(self.tags), -1
+            for holder, link, text in self.parts:
+                if holder == before:
+                    self.pieces[-1] += text
+                    self.linked[-1] += link * len(text)
+                else:
+                    self.pieces.append(text)
+                    self.holder.append(holder)
+                    self.line.append(number)
+                    self.linked.append(link * len(text))
+                    before = holder
+            self.tags.append(self.since)
+            self.since = 0
+        self.parts.clear()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.tags += 1
+        self.since += 1
         if tag not in INLINE:
             self.flush()
-            if tag in CLOSES_P and "p" in self.open:
+            if tag in CLOSES_P and self.n_open.get("p"):
                 self._close_p()
         if tag in VOID:
             return
-        unwanted = _unwanted(tag, attrs)
-        if unwanted == 2:
-            self.unwanted.append(len(self.open))
-        else:
-            if tag == "header":
-                self.header.append(len(self.open))
-            if unwanted and not self.unwanted:
-                self.suspects.append((self.n_suspects, len(self.open)))
-                self.inside += (self.n_suspects,)
-                self.n_suspects += 1
-        if tag in REGIONS and not self.unwanted:
-            number = len(self.kinds)
-            self.kinds[number] = tag
-            self.around[number] = self.inside
-            if unwanted:
-                self.own.add(number)
-            self.regions.append((number, len(self.open)))
-        self.open.append(tag)
+        own = 0
+        if not self.unseen:
+            mark = marking(tag, attrs)
+            if mark == UNSEEN:
+                self.unseen = len(self.open) + 1
+            elif mark or tag in CONTAINERS:
+                own = len(self.kind)
+                self.kind.append(tag)
+                self.parent.append(self.at[-1])
+                self.mark.append(mark)
+                self.at.append(own)
+        self.open.append((tag, own))
+        self.n_open[tag] = self.n_open.get(tag, 0) + 1
 
     def _close_p(self) -> None:
-        """An open p ends here unless a region opened inside it."""
+        """An open p ends here unless a block opened inside it."""
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth] == "p":
+            if self.open[depth][0] == "p":
                 self._pop(depth)
                 return
-            if self.open[depth] not in INLINE:
+            if self.open[depth][0] not in INLINE:
                 return
 
     def _pop(self, depth: int) -> None:
+        for tag, own in self.open[depth:]:
+            self.n_open[tag] -= 1
+            if own:
+                self.at.pop()
         del self.open[depth:]
-        for stack in (self.unwanted, self.header):
-            while stack and stack[-1] >= depth:
-                stack.pop()
-        while self.regions[-1][1] >= depth:
-            self.regions.pop()
-        while self.suspects and self.suspects[-1][1] >= depth:
-            self.suspects.pop()
-            self.inside = self.inside[:-1]
+        if self.unseen > depth:
+            self.unseen = 0
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.since += 1
         if tag not in INLINE:
             self.flush()
-        if tag in VOID:
+        if tag in VOID or not self.n_open.get(tag):
             return
         for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth] == tag:
+            if self.open[depth][0] == tag:
                 self._pop(depth)
                 return
-            # an inline end tag never ends a block, nor any end tag an unwanted element around it
-            if tag in INLINE and self.open[depth] not in INLINE:
+            # an inline end tag never ends a block
+            if tag in INLINE and self.open[depth][0] not in INLINE:
                 return
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -180,12 +196,12 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if self.unwanted:
-            return
-        if self.header and not (any(t in HEADINGS for t in self.open[self.header[-1] :]) and any(self.kinds[n] in ("article", "main") for n, _ in self.regions)):
+        if self.unseen:
             return
-        self.parts.append(data)
-        self.part_suspects.append(self.inside)
+        holder = self.at[-1]
+        if self.kind[holder] == "header" and (self.n_open.get("article") or self.n_open.get("main")) and any(self.n_open.get(h) for h in HEADINGS):
+            holder = self.parent[holder]  # an article's heading stands in its header
+        self.parts.append((holder, bool(self.n_open.get("a")), data))
 
     def close(self) -> None:
         super().close()
@@ -215,95 +231,137 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def _content(lines: list[tuple[str, int, tuple[int, ...]]], sigma: float) -> np.ndarray:
-    """Which lines are content."""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]), sigma)
-    return ratios >= threshold(ratios)
-
-
-def _spared(parser: _Lines, sigma: float) -> set[int]:
-    """The suspects that stay: those around the article or main with the most content, or around nearly all content and most text of the page."""
-    content = _content(parser.lines, sigma)
-    mass: dict[int, int] = {}
-    held: dict[int, list[int]] = {}
-    total = [0, 0]  # of content, of all text
-    for k, ((text, _, path), is_content) in enumerate(zip(parser.lines, content, strict=True)):
-        total[0] += len(text) * is_content
-        total[1] += len(text)
-        if is_content:
-            for region in path:
-                mass[region] = mass.get(region, 0) + len(text)
-        for piece, suspects in parser.pieces.get(k, ()):
-            size = len(" ".join(piece.split()))
-            for suspect in suspects:
-                n = held.setdefault(suspect, [0, 0])
-                n[0] += size * is_content
-                n[1] += size
-    # lines of one density are split too, so most of the text must be held as well
-    out = {suspect for suspect, n in held.items() if n[0] >= 0.8 * total[0] and 3 * n[1] >= 2 * total[1]}
-    for kind in ("article", "main"):
-        regions = [r for r in mass if parser.kinds[r] == kind and r not in parser.own]
-        if regions:
-            out.update(parser.around[max(regions, key=lambda r: mass[r])])
-            break
-    if not out and all(all(suspects for piece, suspects in parser.pieces.get(k, [("x", ())]) if piece.strip()) for k in range(len(parser.lines))):
-        out = {suspect for suspect, n in held.items() if n[0]}  # rather than no text at all, all that hold content
-    return out
+class Page:
+    """A parsed page as arrays over its pieces, with sums over containers and all within them."""
+
+    def __init__(self, lines: Lines, sigma: float) -> None:
+        self.kind, self.parent = lines.kind, lines.parent
+        self.line, self.holder = np.array(lines.line, np.int64), np.array(lines.holder, np.int64)
+        self.size = np.array([len(" ".join(p.split())) for p in lines.pieces], np.int64)
+        self.linked = np.minimum(np.array(lines.linked, np.int64), self.size)
+        whole = np.bincount(self.line, self.size, len(lines.tags))
+        self.ratio = smoothed(whole / np.maximum(1, np.array(lines.tags)), sigma)
+        self.mark = np.array(lines.mark)
+
+    def within(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the pieces in each container and the containers in it."""
+        out = np.bincount(self.holder, values, len(self.kind)).tolist()
+        for c in range(len(out) - 1, 0, -1):
+            out[self.parent[c]] += out[c]
+        return np.array(out)
+
+    def handed_down(self, own: np.ndarray) -> np.ndarray:
+        """For each container the largest of its own value and those around it."""
+        out = own.tolist()
+        for c in range(1, len(out)):
+            out[c] = max(out[c], out[self.parent[c]])
+        return np.array(out)
+
+    def content(self, mark: np.ndarray) -> np.ndarray:
+        """The code points of each piece that are content: all or none, by the clustered ratio of its line under the priors."""
+        scaled = self.ratio[self.line] * PRIORS[self.handed_down(mark)[self.holder]]
+        above = (scaled >= threshold(scaled)) & (scaled > 0) if scaled.any() else np.zeros(len(scaled), bool)
+        return np.where(above, self.size, 0)
+
+    def best_article(self, mass: np.ndarray, mark: np.ndarray) -> int:
+        """The article, or else main, that holds the most content; 0 if none does."""
+        for kind in ("article", "main"):
+            found = [c for c in range(1, len(self.kind)) if self.kind[c] == kind and mark[c] == PLAIN and mass[c]]
+            if found:
+                return max(found, key=lambda c: mass[c])
+        return 0
 
-
-def lines_of(html: str, sigma: float = 1.0) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int, str]]:
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    if not parser.pieces:
-        return parser.lines, parser.kinds
-    spared = _spared(parser, sigma)
-    lines, before = [], 0
-    for k, (text, tags, path) in enumerate(parser.lines):
-        if k in parser.pieces:
-            text = " ".join("".join(piece for piece, suspects in parser.pieces[k] if spared.issuperset(suspects)).split())
-        if text:
-            lines.append((text, tags + before, path))
-            before = 0
-        else:
-            before += tags
-    return lines, parser.kinds
+    def trusted(self) -> np.ndarray:
+        """Marks without the names of containers that hold the best article, or nearly all content and most text: a wrapper may name what it lays out."""
+        mark = np.where(self.mark == NAMED, PLAIN, self.mark)
+        mass, size = self.within(self.content(mark)), self.within(self.size * (self.handed_down(mark)[self.holder] == PLAIN))
+        if not mass[0]:
+            return self.mark
+        holds = (mass >= NEARLY_ALL * mass[0]) & (3 * size >= 2 * size[0])
+        around = self.parent[c] if (c := self.best_article(mass, self.mark)) else 0
+        while around:
+            holds[around] = True
+            around = self.parent[around]
+        return np.where((self.mark == NAMED) & holds, PLAIN, self.mark)
+
+    def kept(self) -> np.ndarray:
+        """Which pieces are the main text."""
+        mark = self.trusted()
+        content = self.content(mark)
+        if not content.any():  # rather than no text at all, what only names speak against
+            mark = np.where(mark == NAMED, PLAIN, mark)
+            content = self.content(mark)
+        mass, size, linked = self.within(content), self.within(self.size), self.within(self.linked)
+        best = self.region(mass, np.bincount(self.holder, content, len(self.kind)))
+        cards = [c for c in range(1, len(self.kind)) if self.kind[c] == "article"]
+        first = max((mass[c] for c in cards), default=0)
+        longest = max((size[c] for c in cards if mass[c] == first), default=0)
+        rejected = np.zeros(len(self.kind), np.int64)
+        rejected[(mark != PLAIN) & (2 * mass < size)] = 1
+        rejected[(mass == 0) & (2 * linked > size)] = 1
+        for c in cards:
+            # another article stays if it is mostly content or half as long as the one with the most
+            if c != best and mass[c] < first and 2 * mass[c] < size[c] and 2 * size[c] < longest:
+                rejected[c] = 1
+        rejected[0] = 0
+        inside = np.zeros(len(self.kind), np.int64)
+        inside[best] = 1
+        if self.kind[best] == "article":  # a page may have several
+            inside[[c for c in cards if mass[c] or 2 * size[c] >= longest]] = 1
+        c = best
+        while c:  # what is around the region is no ground against it
+            rejected[c] = 0
+            c = self.parent[c]
+        return (self.handed_down(inside)[self.holder] == 1) & (self.handed_down(rejected)[self.holder] == 0)
+
+    def region(self, mass: np.ndarray, own: np.ndarray) -> int:
+        """The innermost container that holds nearly all of the page's content, or of that of an article or main with most of it.
+
+        A container with content lines of its own isn't left for one within it.
+        """
+        best, children = 0, [[] for _ in self.kind]
+        for c in range(1, len(self.kind)):
+            if mass[c]:
+                children[self.parent[c]].append(c)
+        goal = mass[0]
+        articles = [c for c in range(1, len(self.kind)) if self.kind[c] == "article" and mass[c]]
+        if articles and sum(mass[c] for c in articles if not self._nested(c)) >= MOST * goal:
+            return max(articles, key=lambda c: mass[c])
+        while children[best]:
+            child = max(children[best], key=lambda c: mass[c])
+            marked = self.kind[child] in ("article", "main")
+            if mass[child] < (MOST if marked else NEARLY_ALL) * goal or (own[best] and not marked) or self.kind[child] in ("ul", "ol", "dl", "table", "figure", "blockquote"):
+                break
+            best, goal = child, mass[child] if marked else goal
+        return best
+
+    def _nested(self, c: int) -> bool:
+        return self._in_article[self.parent[c]]
+
+    @property
+    def _in_article(self) -> list[bool]:
+        if not hasattr(self, "_articles"):
+            self._articles = self.handed_down(np.array([k == "article" for k in self.kind], np.int64)).astype(bool).tolist()
+        return self._articles
 
 
 def main_text(html: str, sigma: float = 1.0) -> tuple[str, int, int]:
     """(main text, lines in all, lines kept)."""
-    lines, kinds = lines_of(html, sigma)
-    if not lines:
+    parser = Lines()
+    parser.feed(html)
+    parser.close()
+    if not parser.tags:
         return "", 0, 0
-    content = _content(lines, sigma)
-    mass: dict[int, float] = {}
-    size: dict[int, int] = {}
-    for (text, _, path), is_content in zip(lines, content, strict=True):
-        for region in path:
-            mass[region] = mass.get(region, 0.0) + (len(text) if is_content else 0)
-            size[region] = size.get(region, 0) + len(text)
-    total = mass[0]
-    # articles that hold content first, then main; of other regions the deepest that still holds nearly all of the content
-    best = 0
-    articles = [r for r, kind in kinds.items() if kind == "article" and mass.get(r, 0)]
-    if articles:
-        # the one with the most content, and others that are mostly content or half as long, whose lines lie under the threshold by their
-        # markup; a line goes by the innermost article around it
-        first = max(articles, key=lambda r: mass[r])
-        chosen = {r for r in size if kinds[r] == "article" and (mass[r] == mass[first] or mass[r] >= 0.5 * size[r] or size[r] >= 0.5 * size[first])}
-        inner = [next((r for r in reversed(path) if kinds[r] == "article"), 0) for _, _, path in lines]
-        keep = [line for line, r in zip(lines, inner, strict=True) if r in chosen]
-    else:
-        mains = [r for r, kind in kinds.items() if kind == "main" and mass.get(r, 0)]
-        if mains:
-            best = max(mains, key=lambda r: mass[r])
-        inside = [line for line in lines if best in line[2]]
-        share = mass[best] if mains else total
-        for region in sorted(r for r in mass if r > best):
-            if mass[region] >= 0.8 * share and any(region in line[2] for line in inside):
-                best = region
-        keep = [line for line in lines if best in line[2]]
-    return " ".join(text for text, _, _ in keep), len(lines), len(keep)
+    page = Page(parser, sigma)
+    out: list[list[str]] = []
+    before = -1
+    for k in np.flatnonzero(page.kept()).tolist():
+        if parser.line[k] != before:
+            out.append([])
+            before = parser.line[k]
+        out[-1].append(parser.pieces[k])
+    texts = [t for t in (" ".join("".join(pieces).split()) for pieces in out) if t]
+    return " ".join(texts), len(parser.tags), len(texts)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sigma: float = 1.0) -> DataFrame:

@@ -2,14 +2,17 @@
 
 import base64
 import hashlib
+import re
+import time
 import zlib
+from html import unescape
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docweave.llm import html_extract, warc
-from docweave.llm.queries import op2_warc_transactions
+from docweave.llm.queries import op1_html_main_text, op2_warc_transactions
 
 PAGES = "page_id long, url string, html string, text string, n_chars int"
 
@@ -66,6 +69,45 @@ def test_comments_longer_than_the_story_go():
     assert html_extract.main_text(html)[0] == f"{WORDS}{WORDS}".strip()
 
 
+@pytest.mark.parametrize("html", ["<div>text ", "<div class=ad>text ", "<p>text ", "<article>text ", "<b>text ", "<a>text ", "<header><h1>text "])
+def test_deep_pages_take_linear_time(html):
+    began = time.process_time()
+    text = html_extract.main_text(html * 100_000)[0]
+    assert time.process_time() - began < 10
+    if html in ("<div>text ", "<p>text ", "<article>text ", "<b>text "):
+        assert len(text) == 5 * 100_000 - 1
+
+
+@pytest.mark.parametrize("html", ["<div id=page class=has-sidebar><article><p>Hello you.</p></article></div>", "<div class='post social-science'><p>Hello you.</p></div>"])
+def test_names_of_layouts_and_topics_keep_the_text(html):
+    assert html_extract.main_text(html)[0] == "Hello you."
+
+
+def test_the_threshold_decides(monkeypatch):
+    menu = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>"
+    html = f"<body><div class=teaser><p>Tease.</p></div><article><h1>Title</h1>{menu}<p>{WORDS}</p><div class=ad>Buy.</div><p>{WORDS}</p></article></body>"
+    assert html_extract.main_text(html)[0] == f"Title {WORDS}{WORDS}".strip()
+    monkeypatch.setattr(html_extract, "threshold", lambda values: -1.0)
+    assert "One Two" in html_extract.main_text(html)[0]
+
+
+def _plain_article(page):
+    """The text of the article element, by patterns on the markup: the test tables have one in each page and nothing foreign in it but scripts and the like."""
+    found = re.search(r"<article[^>]*>(.*?)</article>", page or "", re.S)
+    inner = re.sub(r"<(script|style|form|aside|nav)\b.*?</\1>|<!--.*?-->", "", found[1] if found else "", flags=re.S)
+    inner = re.sub(r"</?(?:b|i|a|em|strong|span)\b[^>]*>", "", inner)
+    return " ".join(unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def test_query_against_patterns(spark):
+    sf = "/root/testdata/sf0.01"
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = op1_html_main_text(spark, sf).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert (r.url, r.text, r.n_chars) == (pages[r.page_id].url, _plain_article(pages[r.page_id].html), len(r.text))
+
+
 def test_smoothing_and_threshold():
     flat = html_extract.smoothed(np.full(7, 3.0))
     assert np.allclose(flat, 3.0)
