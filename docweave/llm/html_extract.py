@@ -219,6 +219,8 @@ def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
 def threshold(values: np.ndarray) -> float:
     """The boundary of two-means clustering in one dimension; all values are content when they don't differ."""
     low, high = float(values.min()), float(values.max())
+    if high - low <= 1e-9 * abs(high):
+        return low
     for _ in range(64):
         cut = (low + high) / 2
         above = values > cut
