@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,7 @@ BATCH_ROWS = 512
 
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _number = itertools.count()
+_own = threading.local()
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,9 +26,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset and all runs in one process."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir: a folder that the driver and the executors of {master} share")
         set_dir = f"file://{tempfile.mkdtemp(prefix='docweave-')}"
         spark.sparkContext.setCheckpointDir(set_dir)
         set_dir = spark.sparkContext.getCheckpointDir()
@@ -42,7 +47,25 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    _own.paths = [*tables(), path]
+    return out
+
+
+def tables() -> list[str]:
+    """The tables that this thread has written and not discarded."""
+    return getattr(_own, "paths", [])
+
+
+def discard(spark: SparkSession, before: list[str], *keep: DataFrame) -> None:
+    """Delete the tables written since tables() was ``before``, but for those of ``keep``. Only for tables that nothing reads any more."""
+    stay = {*before, *(df.written_to for df in keep)}
+    for path in tables():
+        if path not in stay:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _own.paths = [path for path in tables() if path in stay]
 
 
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: str) -> DataFrame:

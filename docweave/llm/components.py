@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, tables, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -17,8 +17,9 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, component) for every node of the edges (u, v): the smallest node reachable.
 
     Minima are aggregated per node before they meet the node's edges. Each round is written to the shared folder; the driver gets
-    one count and one sum a round. Edges with a null end are left out, loops give a component of one, an empty table an empty one.
+    one count and one sum a round, after which the round's other tables are deleted. Edges with a null end are left out, loops give a component of one, an empty table an empty one.
     """
+    spark, at_first = edges.sparkSession, tables()
     edges = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL")
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
@@ -34,6 +35,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         small = large.join(least, F.col("u") == F.col("of"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select(F.col("of").alias("u"), F.col("m").alias("v"))).distinct()
         edges = written(small, "small")
+        discard(spark, at_first, edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

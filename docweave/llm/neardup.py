@@ -9,8 +9,8 @@
 4. Buckets are cut into chunks of bounded size, each with the bucket's smallest class. In a chunk a maximum spanning forest by
    estimate proposes links, so a bucket of n classes proposes n - 1 at most. The links are confirmed on the full sets and joined to components.
 5. In buckets that still hold several components, every class outside the bucket's largest component is compared with all classes of
-   other components; pairs whose estimate lies within ``SIGMAS`` standard deviations (of sampling and bitmap) of the threshold are confirmed too. So no link between
-   components is left out, while pairs inside one are never listed.
+   other components, in square tiles of bounded size; pairs whose estimate lies within ``SIGMAS`` standard deviations (of sampling and bitmap) of
+   the threshold are confirmed too. So no link between components is left out, while pairs inside one are never listed.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .common import Recent, map_batches, prepare, written
+from .common import Recent, discard, map_batches, prepare, tables, written
 from .components import components
 
 ROWS_PER_BAND = 4
@@ -34,8 +35,10 @@ MISS = 1e-6
 SKETCH_SAMPLES = 512
 SKETCH_BITS = 2048
 SIGMAS = 5.5
-#: Classes in a chunk of a bucket.
-CHUNK = 1024
+#: Classes in a chunk of a bucket, about. Small ones are dealt out evenly, and a forest of each takes less.
+CHUNK = 128
+#: Classes on either side of a tile, about.
+TILE = 512
 
 _MASK = (1 << 64) - 1
 
@@ -165,32 +168,37 @@ def _arrays(batch: pa.RecordBatch | pa.Table, name: str, dtype: str, width: int)
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(-1, width)
 
 
+def text_key(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def sets_of(docs: DataFrame, k: int, n_hashes: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the whole set, null if it is empty), band_keys."""
+    """doc_id, text_key, n_shingles, set_key (128 bits of the whole set, null if it is empty), band_keys."""
     prepare(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
+        sets = [shingles(t, k) for t in batch.column(2).to_pylist()]
         full = [j for j, s in enumerate(sets) if len(s)]
         keys = iter(bands(minhashes([sets[j] for j in full], 11, n_hashes)))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
+                batch.column(1),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([next(keys).tobytes() if len(s) else None for s in sets], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "set_key", "band_keys"],
+            names=["doc_id", "text_key", "n_shingles", "set_key", "band_keys"],
         )
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return map_batches(source, rows, f"doc_id {id_type}, n_shingles long, set_key binary, band_keys binary")
+    source = docs.select(docs[id_col].alias("doc_id"), text_key(docs[text_col]).alias("text_key"), docs[text_col].cast("string").alias("text"))
+    return map_batches(source, rows, f"doc_id {id_type}, text_key long, n_shingles long, set_key binary, band_keys binary")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """node, shingles and sketch of the documents whose id is in ``ids`` (node)."""
-    id_type = docs.schema[id_col].dataType.simpleString()
+def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles and sketch of ``wanted`` (node and the id and text_key of one of its documents)."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, k) for t in batch.column(1).to_pylist()]
@@ -200,9 +208,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: st
             names=["node", "shingles", "sketch"],
         )
 
-    source = docs.select(docs[id_col].alias("node"), docs[text_col].cast("string").alias("text"))
-    source = source.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(ids, "node", "left_semi").dropDuplicates(["node"])
-    return map_batches(source, rows, f"node {id_type}, shingles array<bigint>, sketch binary")
+    source = docs.select(docs[id_col].alias("doc"), text_key(docs[text_col]).alias("doc_key"), docs[text_col].cast("string").alias("text"))
+    source = source.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).join(wanted, ["doc", "doc_key"]).dropDuplicates(["doc", "doc_key"])
+    return map_batches(source.select("node", "text"), rows, "node long, shingles array<bigint>, sketch binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,7 +223,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).select("u", "v")
 
 
-def by_chunk(df: DataFrame, pairs: Callable[[pa.RecordBatch, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], id_type: str) -> DataFrame:
+def by_chunk(df: DataFrame, pairs: Callable[[pa.RecordBatch, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """(u, v) nodes of the index pairs that ``pairs`` gives for whole chunks.
 
     Rows are dealt by bucket and chunk and sorted by them; ``pairs`` gets a batch of whole chunks and where each begins, and the end.
@@ -245,27 +253,22 @@ def by_chunk(df: DataFrame, pairs: Callable[[pa.RecordBatch, np.ndarray], Iterat
                     yield pa.RecordBatch.from_arrays([node.take(pa.array(u)), node.take(pa.array(v))], names=["u", "v"])
 
     df = df.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
-    return df.mapInArrow(over, f"u {id_type}, v {id_type}")
+    return df.mapInArrow(over, "u long, v long")
 
 
 def in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
-
-    Two documents are linked if their sets of k-word shingles have a similarity of at least ``percent`` hundredths;
-    component_id is the smallest id that links reach, and kept says that it is the document's own. Null or blank texts have the empty
-    set and are linked with nothing, equal ones neither. Rows without an id are kept and have no component. Rows that share an id
-    count as one document, for which one of its texts stands. Only the id and text columns are read.
-    """
-    id_type = docs.schema[id_col].dataType.simpleString()
+def linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, n_shingles, component and component_id of every row of ``docs``; the component is null for rows that are linked with nothing."""
+    spark, at_first = docs.sparkSession, tables()
     threshold = percent / 100
     hashes = n_bands(threshold) * ROWS_PER_BAND
     rows = written(sets_of(docs, k, hashes, id_col, text_col), "sets")
-    # a class: all documents with the same set, by its smallest id
-    classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("band_keys").alias("band_keys"))
+    # a class: all documents with the same set. Its first document stands for it, and its node is a number that it gets as it is written
+    classes = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("band_keys").alias("band_keys"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "set_key", F.col("first.doc_id").alias("doc"), F.col("first.text_key").alias("doc_key"), "band_keys")
     classes = written(classes, "classes")
 
     def exploded(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -273,19 +276,23 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         at = np.repeat(np.arange(len(keys)), keys.shape[1])
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(keys.ravel())], names=["node", "bucket"])
 
-    each = map_batches(classes.select("node", "band_keys"), exploded, f"node {id_type}, bucket long")
+    each = map_batches(classes.select("node", "band_keys"), exploded, "node long, bucket long")
     buckets = each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
     # tables of one row a bucket are written before they are joined, so that a large bucket can be split there
     buckets = written(buckets.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")), "buckets")
     member = written(each.join(buckets, "bucket"), "members")
-    near = written(full_sets(docs, member.select("node").distinct(), k, id_col, text_col), "shingles")
+    wanted = classes.select("node", "doc", "doc_key").join(member.select("node").distinct(), "node", "left_semi")
+    near = written(full_sets(docs, wanted, k, id_col, text_col), "shingles")
     sketches = near.select("node", "sketch")
     least = least_estimate(threshold, SKETCH_SAMPLES)
     width = SKETCH_BITS // 64
 
-    # a class falls in other chunks in other buckets, so that chunks meet
-    own = F.pmod(F.xxhash64("node", "bucket"), F.col("chunks")).cast("int")
-    all_chunks = F.sequence(F.lit(0), F.col("chunks") - 1)
+    def group(n: Column) -> Column:
+        """A class falls in other groups of n in other buckets, so that all meet."""
+        return F.pmod(F.xxhash64("node", "bucket"), n).cast("int")
+
+    def upto(n: Column) -> Column:
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
     def spanning(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         sketch = _arrays(rows, "sketch", "<u8", width)
@@ -298,30 +305,41 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
             found.append((edges[:, 0], edges[:, 1]))
         yield np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    placed = member.withColumn("chunk", F.explode(F.when(F.col("node") == F.col("first"), all_chunks).otherwise(F.array(own))))
-    proposed = by_chunk(placed.select("bucket", "chunk", "node").join(sketches, "node"), spanning, id_type)
+    chunks = F.when(F.col("node") == F.col("first"), upto(F.col("chunks"))).otherwise(F.array(group(F.col("chunks"))))
+    placed = member.withColumn("chunk", F.explode(chunks))
+    proposed = by_chunk(placed.select("bucket", "chunk", "node").join(sketches, "node"), spanning)
     links = written(confirmed(in_order(proposed), near, percent), "links")
     comps = written(components(links), "components")
 
-    # the rest: buckets that still hold several components
+    # the rest: buckets that still hold several components, and in them the classes outside the largest
     labelled = member.join(comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    split = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("n_components")).where("n_components > 1")
-    open_ = labelled.join(written(split, "split"), "bucket").withColumn("rest", F.col("component") != F.col("main"))
-    open_ = open_.withColumn("chunk", F.explode(F.when(F.col("rest"), all_chunks).otherwise(F.array(own))))
-    keys = classes.groupBy("node").agg(F.first("band_keys").alias("band_keys"))
-    open_ = open_.select("bucket", "chunk", "chunks", "node", "component", "rest").join(sketches, "node").join(keys, "node")
+    split = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("n_components")).where("n_components > 1")
+    split = written(split.select("bucket", F.col("main.component").alias("main"), F.col("main.c").alias("n_main")), "split")
+    open_ = labelled.join(split, "bucket").withColumn("rest", F.col("component") != F.col("main"))
+    down = F.ceil((F.col("n") - F.col("n_main")) / TILE).cast("int")
+    across_ = F.ceil(F.col("n_main") / TILE).cast("int")
+    # tiles of a group of the rest and one of the largest component, and of two groups of the rest
+    own = group(F.col("down"))
+    pairs_of_rest = F.transform(upto(F.col("down")), lambda other: F.least(own, other) * F.col("down") + F.greatest(own, other))
+    beside = F.transform(upto(F.col("across")), lambda other: F.col("down") * F.col("down") + own * F.col("across") + other)
+    below = F.transform(upto(F.col("down")), lambda other: F.col("down") * F.col("down") + other * F.col("across") + group(F.col("across")))
+    open_ = open_.withColumn("down", down.cast("long")).withColumn("across", across_.cast("long"))
+    open_ = open_.withColumn("chunk", F.explode(F.when(F.col("rest"), F.concat(pairs_of_rest, beside)).otherwise(below)))
+    keys = classes.select("node", "band_keys")
+    open_ = open_.select("bucket", "chunk", "node", "component", "rest", own.alias("group")).join(sketches, "node").join(keys, "node")
 
     def across(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of a rest class and one of another component, in the first bucket that both share and, for two rest classes, in one chunk."""
+        """Pairs of a rest class and one of another component, in the first bucket that both share."""
         sketch, key = _arrays(rows, "sketch", "<u8", width), _arrays(rows, "band_keys", "<i8", hashes // ROWS_PER_BAND)
-        component, rest, bucket, chunk, chunks = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("component", "rest", "bucket", "chunk", "chunks"))
+        component, rest, bucket, part = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("component", "rest", "bucket", "group"))
         for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             here = np.arange(begin, end)
-            both_rest = rest[begin:end] & bool(chunk[begin] == bucket[begin] % chunks[begin])
+            main = ~rest[begin:end]
+            of_rest, two = not main.any(), part[begin] != part[begin:end].max() or part[begin] != part[begin:end].min()
             found = [], []
-            for i in here[rest[begin:end]].tolist():
-                other = here[(component[begin:end] != component[i]) & (~rest[begin:end] | (both_rest & (here > i)))]
+            for i in here[~main].tolist():
+                other = here[(component[begin:end] != component[i]) & (((here > i) & ((part[begin:end] != part[i]) | (not two))) if of_rest else main)]
                 other = other[estimate(sketch[i], sketch[other], SKETCH_SAMPLES) >= least]
                 if len(other):
                     first = key[i][(key[other] == key[i]).argmax(axis=1)]
@@ -331,14 +349,49 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
             if found[0]:
                 yield np.concatenate(found[0]), np.concatenate(found[1])
 
-    more = written(confirmed(in_order(by_chunk(open_, across, id_type)), near, percent), "more")
-    joined = comps.select("node", F.col("component"))
-    edges = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
-    final = written(components(edges), "final") if more.limit(1).count() else comps
+    more = written(confirmed(in_order(by_chunk(open_, across)), near, percent), "more")
+    final = comps
+    if more.limit(1).count():
+        edges = comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)
+        final = written(components(edges), "final")
+    docs_of = classes.select("node", "set_key", "doc")
+    smallest = final.join(docs_of, "node").groupBy(F.col("component").alias("of")).agg(F.min("doc").alias("smallest"))
+    label = docs_of.join(final, "node", "left").join(smallest, F.col("component") == F.col("of"), "left")
+    label = label.select("set_key", F.coalesce("component", "node").alias("component"), F.coalesce("smallest", "doc").alias("component_id"))
+    label = written(label, "labels")
+    discard(spark, at_first, rows, label)
+    out = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(label, "set_key", "left")
+    own_id = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_key", "n_shingles", F.when(own_id, F.col("component")).alias("component"), F.when(own_id, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
-    # a node is its class's smallest id, so a component's smallest node is its smallest id
-    label = classes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(label, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
+
+    Two documents are linked if their sets of k-word shingles have a similarity of at least ``percent`` hundredths;
+    component_id is the smallest id that links reach, and kept says that it is the document's own. Null or blank texts have the empty
+    set and are linked with nothing, equal ones neither. Rows without an id are kept and have no component. A row is a document: rows that
+    share an id and differ in text are linked by their own texts alone, and may fall in different components. Only the id and text columns are read.
+    """
+    out = linked(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def survivors(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked rows: that with the smallest id, of such the one with the smallest text key, then other columns.
+
+    Null and blank texts and rows without an id all stay. Rows that are equal in id and text are one group too.
+    """
+    names = docs.columns
+    found = linked(docs, k, percent, id_col, text_col).where("component IS NOT NULL").select("component", "doc_id", "text_key")
+    first = written(found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first")), "first")
+    gone = found.join(first, "component").where(F.struct("doc_id", "text_key") != F.col("first"))
+    gone = written(gone.select(F.col("doc_id").alias("gone_"), F.col("text_key").alias("gone_key_")).distinct(), "gone")
+    left = docs.withColumn("text_key_", text_key(docs[text_col]))
+    left = left.join(gone, (F.col(id_col) == F.col("gone_")) & (F.col("text_key_") == F.col("gone_key_")), "left_anti")
+    # equal rows meet; those that are linked with nothing don't
+    apart = F.when(F.col(id_col).isNull() | ~F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    atomic = [F.col(f.name) for f in docs.schema if f.name not in (id_col, text_col) and not isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    left = left.withColumn("apart_", apart)
+    order = Window.partitionBy(id_col, "text_key_", "apart_").orderBy(*(atomic or [F.lit(0)]))
+    return left.withColumn("place_", F.row_number().over(order)).where("place_ = 1").select(*names)

@@ -54,6 +54,7 @@ def _family(seed, n, base_words, changes):
 @pytest.mark.parametrize(("k", "percent", "chunk"), [(3, 85, 1024), (3, 85, 16), (5, 80, 32)])
 def test_groups_against_all_pairs(spark, monkeypatch, k, percent, chunk):
     monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "TILE", max(8, chunk // 4))
     rng = random.Random(k)
     texts = _family(1, 120, 120, 7) + _family(2, 40, 60, 4) + ["Same Text here"] * 60 + ["same text HERE"] * 5 + [None, "", "  \t ", "one", "one", "two words", "Two words"]
     texts += [" ".join(f"r{rng.randrange(3000)}" for _ in range(rng.randint(1, 80))) for _ in range(120)] + ["common line shared by all " + " ".join(f"q{rng.randrange(9000)}" for _ in range(20)) for _ in range(50)]
@@ -71,6 +72,16 @@ def test_groups_defined_rows(spark):
     assert neardup.groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(12)
+    x, y, z = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    docs = spark.createDataFrame([(1, x, "a", "s", 1, 0), (5, y, "a", "s", 1, 0), (5, x, "a", "s", 1, 0), (8, y, "a", "s", 1, 0), (9, z, "b", "s", 1, 0), (9, z, "a", "s", 1, 0), (4, "", "a", "s", 1, 0), (4, "", "a", "s", 1, 0)], DOCS)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.groups(docs, 3, 85).collect())
+    assert got == [(1, 1, True), (4, 4, True), (4, 4, True), (5, 1, False), (5, 5, True), (8, 5, False), (9, 9, True), (9, 9, True)]
+    left = sorted((r.doc_id, r.text, r.lang) for r in neardup.survivors(docs, 3, 85).collect())
+    assert left == sorted([(1, x, "a"), (5, y, "a"), (9, z, "a"), (4, "", "a"), (4, "", "a")])
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(0)
     for similarity in (0.75, 0.85, 0.95):
