@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare, written
-from .neardup import mixed, word_hashes
+from .common import discard, map_batches, prepare, tables, written
+from .neardup import mixed, text_key, word_hashes
 
 #: Words on either side among which a cut's hash is the smallest.
 REACH = 3
-MIN_WORDS = 24
+MIN_WORDS = 30
 COMMON = 1.25
 
 _SPACE = np.zeros(256, bool)
@@ -64,39 +64,45 @@ def units(text: bytes, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def unit_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, unit, words, digest of every unit of every text."""
+    """doc_id, text_key, unit, words, digest of every unit of every text."""
     prepare(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [units((t or "").encode("utf-8")) for t in batch.column(1).to_pylist()]
+        found = [units((t or "").encode("utf-8")) for t in batch.column(2).to_pylist()]
         n = [len(f[0]) for f in found]
         at = pa.array(np.repeat(np.arange(len(n)), n))
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(at),
+                batch.column(1).take(at),
                 pa.array(np.concatenate([np.arange(k) for k in n]).astype(np.int32)),
                 pa.array(np.concatenate([f[2] for f in found]).astype(np.int32)),
                 pa.array(np.concatenate([f[3] for f in found]).view(np.int64)),
             ],
-            names=["doc_id", "unit", "words", "digest"],
+            names=["doc_id", "text_key", "unit", "words", "digest"],
         )
 
-    source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return map_batches(source, rows, f"doc_id {id_type}, unit int, words int, digest long")
+    source = docs.select(docs[id_col].alias("doc_id"), text_key(docs[text_col]).alias("text_key"), docs[text_col].cast("string").alias("text"))
+    return map_batches(source.where("doc_id IS NOT NULL AND text IS NOT NULL"), rows, f"doc_id {id_type}, text_key long, unit int, words int, digest long")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and units: the numbers of the units to remove, for documents that have some.
+    """doc_id, text_key and units: the repeats among a text's units, with their words and counts, for texts that have some.
 
-    Digests are counted before they meet their units again, and the earliest occurrence comes with the count. Runs are put together
-    per document from units that are repeats.
+    Texts are cut into units once, and the units written. Digests are counted before they meet their units again, and the earliest occurrence
+    comes with the count. A text goes by its id and its key, so that other texts of the same id are not cut by it.
     """
-    rows = unit_rows(docs, id_col, text_col)
-    earliest = rows.groupBy("digest").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    spark, at_first = docs.sparkSession, tables()
+    rows = written(unit_rows(docs, id_col, text_col), "units")
+    place = F.struct("doc_id", "text_key", "unit")
+    earliest = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     # written, so that it comes to the join by a shuffle of its own and a digest that very many units share can be split
-    again = rows.join(written(earliest, "earliest"), "digest").where(F.struct("doc_id", "unit") != F.col("first")).select("doc_id", "unit", "words", "n")
-    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("unit", "words", "n"))).alias("units"))
+    again = rows.join(written(earliest, "earliest"), "digest").where(place != F.col("first"))
+    again = again.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("unit", "words", "n"))).alias("units"))
+    again = written(again, "repeats")
+    discard(spark, at_first, again)
+    return again
 
 
 def _stretches(size: np.ndarray, n: np.ndarray, first: int, last: int, min_words: int, whole: bool) -> list[tuple[int, int]]:
@@ -156,17 +162,17 @@ def cut(text: str, removed: np.ndarray, numbers: tuple[np.ndarray, np.ndarray])
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the text left after removal, and n_removed, removed_chars and removed_spans (start and end code points in the whole text).
 
-    Ranks are ids, then positions, smallest first. Null and blank texts stay as they are, and so do texts without repeats; rows without an id
-    are neither searched nor changed. A text that only repeats others becomes empty. Rows that share an id and text are cut alike. Columns
-    of the added names are replaced; all others are kept.
+    Ranks are ids, then text keys and positions, smallest first. Null and blank texts stay as they are, and so do texts without repeats; rows
+    without an id are neither searched nor changed. A text that only repeats others becomes empty. Rows that share an id and text are one
+    document and cut alike; rows that share an id alone are documents of their own. Columns of the added names are replaced; all others are kept.
     """
     prepare(docs.sparkSession)
     added = ["n_removed", "removed_chars", "removed_spans", "repeats_"]
     base = docs.drop(*added)
     if base.schema[text_col].dataType.simpleString() != "string":
         base = base.withColumn(text_col, F.col(text_col).cast("string"))
-    gone = repeated(base, id_col, text_col).select(F.col("doc_id").alias("id_"), F.col("units").alias("repeats_"))
-    joined = base.join(gone, base[id_col] == gone["id_"], "left").drop("id_")
+    gone = repeated(base, id_col, text_col).select(F.col("doc_id").alias("id_"), F.col("text_key").alias("key_"), F.col("units").alias("repeats_"))
+    joined = base.join(gone, (base[id_col] == gone["id_"]) & (text_key(base[text_col]) == gone["key_"]), "left").drop("id_", "key_")
     at, names = base.columns.index(text_col), base.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["n_removed int, removed_chars long, removed_spans array<struct<start:int,end:int>>"])
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -180,7 +186,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
             if len(removed):
                 # only texts that lose something are cut into units again
                 start, end, _, _ = units((text or "").encode("utf-8"))
-                removed = removed[removed < len(start)]
                 text, out = cut(text, removed, (start, end))
             texts.append(text)
             taken.append(len(removed))

@@ -210,6 +210,7 @@ def test_runs_keep_short_common_ends():
     assert run([10] * 10 + [4], [2] * 10 + [9000]) == list(range(10))
     assert run([20, 20] + [10] * 10, [9000, 3000] + [2] * 10) == list(range(12))
     assert run([23, 23], [9000, 2]) == [] and run([23], [2]) == []
+    assert linededup.MIN_WORDS == 30
 
 
 def test_passages_inside_lines_are_caught(spark):
@@ -223,6 +224,43 @@ def test_passages_inside_lines_are_caught(spark):
     assert sum(got[1000 + i] == 0 for i in range(300)) <= 1  # 31 with a reach of 6
 
 
+def test_texts_that_share_an_id_are_cut_by_their_own_repeats(spark):
+    rng = random.Random(13)
+    a, b, u = ("\n".join(" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(50)) for _ in range(2)) for x in "abu")
+    docs = spark.createDataFrame([(i, t, None, None, None, 0) for i, t in ((3, a), (7, u), (7, a), (9, b))], DOCS)
+    got = sorted((r.doc_id, r.text) for r in linededup.dedup(docs).collect())
+    assert got == sorted([(3, a), (7, u), (7, ""), (9, b)])
+
+
+def test_dedup_against_every_stretch_of_words(spark):
+    """Independent of units: what is taken out stands earlier word for word, and of stretches of 60 words that do little is left."""
+    rng = random.Random(14)
+    line = lambda n: " ".join(f"v{rng.randrange(10**7)}" for _ in range(n))
+    shared, docs = [line(n) for n in (51, 60, 75, 120)], []
+    for i in range(120):
+        words = line(rng.randint(20, 150)).split()
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] += "\n"
+        for p in rng.sample(shared, rng.randint(0, 2)):
+            at = rng.randrange(len(words))
+            words[at:at] = p.split()
+        docs.append((i, " ".join(words)))
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, 9) for i, t in docs], DOCS).repartition(4)
+    got = {r.doc_id: r for r in linededup.dedup(frame).collect()}
+    before, clean = "", 0
+    for i, text in docs:
+        for s in got[i].removed_spans:
+            assert f" {' '.join(text[s.start : s.end].split())} " in f" {before} "
+        had = [p for p in shared if p in " ".join(text.split()) and p in before]
+        left = set(got[i].text.split())
+        for p in had:
+            assert sum(w in left for w in p.split()) <= 31 or len(p.split()) == 51
+        clean += not had
+        assert had or got[i].text == text
+        before += " " + " ".join(text.split())
+    assert clean > 20
+
+
 def test_units_cover_words_and_keep_lines():
     text = "one two\nthree  four\r\nfive " + "six " * 40 + "\n\n" + " ".join(f"w{k}" for k in range(200))
     start, end, words, _ = linededup.units(text.encode())
@@ -271,3 +309,24 @@ def test_pipeline_stages(spark, tmp_path):
     packed = kept["packing"]
     assert (packed.groupby("sequence_id")["length"].sum() <= 2048).all() and set(packed["doc_id"]) == set(mixed.index)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(16)
+    text = lambda: " ".join(f"{rng.choice(['the', 'and', 'house', 'garden'])}{rng.choice(['', 's', 'er'])} w{rng.randrange(10**5)}" for _ in range(60))
+    x, y = text(), text()
+    rows = [(1, x, "en", None, None, 0), (5, y, "en", "s0", None, 0), (5, x, "en", "s1", None, 0), (8, y, None, "s1", None, 0), (5, y, "en", "s0", None, 0), (None, x, "en", "s0", None, 0), (9, None, "en", "s0", None, 0), (9, "", "en", None, None, 0)]
+    rows += [(20 + k, text(), "en", f"s{k % 2}", 0, 0) for k in range(20)]
+    docs = spark.createDataFrame(rows, DOCS)
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in left if r.text not in {t[1] for t in rows[8:]}) == sorted([(1, x), (5, y), (0, x), (9, ""), (9, "")])
+    cut = {(r.doc_id, r.source): r.text for r in corpus_pipeline.drop_repeated_passages(spark, docs, "").collect()}
+    assert cut[1, None] == x and cut[5, "s0"] == y and cut[5, "s1"] == "" and cut[8, "s1"] == "" and cut[None, "s0"] == x and cut[9, "s0"] is None
+    mixed = Counter((r.doc_id, r.text, r.source) for r in corpus_pipeline.mix_sources(spark, docs, "").collect())
+    assert max(mixed.values()) <= 4 and mixed[5, y, "s0"] in (0, 2, 4)  # two equal rows, each at most twice
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, "")
+        assert out.count() == 0 and (name == "packing" or tuple(out.columns) == corpus_pipeline.COLUMNS)
