@@ -8,16 +8,16 @@ for each language's false positives; the largest corrected share decides.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, prepare
+from .common import map_batches, prepare, written
 
 UNKNOWN = "und"
 GRAMS = 1 << 18
@@ -26,7 +26,10 @@ HASHES = 3
 MIN_SHARE = 2e-5
 RATIO = 0.05
 
-_LETTER = re.compile(r"[^\W\d_]")
+#: Fixed value: Unicode's categories of letters; numerals such as ½, ², ① and Ⅷ are none.
+_LETTER = regex.compile(r"\p{L}")
+#: Languages that a model holds at most: an n-gram's mask has a bit for each.
+MAX_LANGUAGES = 4096
 
 
 def _codes() -> np.ndarray:
@@ -123,10 +126,14 @@ def places(gram: np.ndarray, h: int, n: int) -> np.ndarray:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """A model of all rows of ``docs`` whose language and text aren't null.
 
-    The driver gets the n-grams that have MIN_SHARE of their language's: 1 / MIN_SHARE a language at most.
+    The driver gets the n-grams that have MIN_SHARE of their language's: 1 / MIN_SHARE a language at most. More than MAX_LANGUAGES languages are an error.
     """
-    n = counted(docs, lang_col, text_col)
-    totals = n.groupBy("lang").agg(F.sum("n").alias("total")).where("total > 0")
+    n = written(counted(docs, lang_col, text_col), "grams")
+    totals = n.groupBy("lang").agg(F.sum("n").alias("total")).where("total > 0").limit(MAX_LANGUAGES + 1)
+    totals = written(totals, "totals")
+    if totals.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # of MAX_LANGUAGES rows at most
     shares = n.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= MIN_SHARE)
     rows = shares.toPandas()
     languages = sorted(rows["lang"].unique().tolist())

@@ -1,7 +1,9 @@
 """op6 and op8: quality and language, held out; defined rows."""
 
 import random
+import unicodedata
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -40,6 +42,51 @@ def test_language_defined_rows(spark):
     assert [(r.lang_pred, r.score) for r in unlabelled] == [("und", 0.0)]
 
 
+def _plain_languages(train, texts):
+    """The same rule with sets of n-grams in place of the filter, one byte at a time."""
+
+    def grams(text):
+        code = [0 if b < 128 and not 97 <= b <= 122 else b - 96 if b < 128 else 27 + (b - 128) % 37 for b in f" {text.lower()} ".encode()]
+        return [tuple(code[k - 1 : k + 2]) for k in range(1, len(code) - 1) if code[k]]
+
+    counts = {}
+    for text, lang in train:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    share = {la: {g: n / c.total() for g, n in c.items()} for la, c in counts.items()}
+    top = Counter()
+    for s in share.values():
+        for g, x in s.items():
+            top[g] = max(top[g], x)
+    known = {la: {g for g, x in s.items() if x >= langid.MIN_SHARE and x >= langid.RATIO * top[g]} for la, s in share.items()}
+    out = []
+    for text in texts:
+        if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+            out.append({})
+            continue
+        own = grams(text)
+        out.append({la: sum(g in k for g in own) / len(own) for la, k in known.items()})
+    return out
+
+
+def test_language_against_sets(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r.doc_id: r for r in langid.identify(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    train = [(r.text, r.lang) for r in rows if r.text is not None and r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    for r, plain in zip(rows, _plain_languages(train, [r.text for r in rows]), strict=True):
+        if not plain:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        order = sorted(plain, key=plain.get, reverse=True)
+        if plain[order[0]] - plain[order[1]] > 0.02:  # the filter's false positives are corrected on average
+            assert got[r.doc_id].lang_pred == order[0]
+        assert abs(got[r.doc_id].score - plain[order[0]] / sum(plain.values())) < 0.03
+
+
+@pytest.mark.parametrize(("text", "letters"), [("½ ² ① Ⅷ 三", True), ("½ ² ① Ⅷ", False), ("٣ __ 12", False), ("ª", True)])
+def test_letters_are_of_category_l(text, letters):
+    assert bool(langid._LETTER.search(text)) == letters
+
+
 def test_bloom_masks_have_no_false_negatives():
     rng = np.random.default_rng(0)
     gram = rng.choice(langid.GRAMS, 5000, replace=False)
