@@ -28,8 +28,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def mix_hash(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def mix_hash(doc_id: Column, text: Column, seed: str) -> Column:
+    """A document's hash is of its id, or of its text where it has none."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text.cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), own).cast("binary"))
 
 
 def ranked(sources: DataFrame) -> DataFrame:
@@ -104,25 +106,47 @@ def thresholds(docs: DataFrame, budgets: DataFrame, levels: int = LEVELS, digits
     return found.unionByName(last)
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every row of ``docs``.
-
-    A source whose target is at least its size has each document floor(target / size) times and, up to the rest of the target, once
-    more. Null texts have size 0 and null sources are a source of their own. Rows that share an id share their
-    hash, and so are taken alike; null ids count as one. The hash alone decides, so reruns agree. A source of size 0 has target 0.
-    Only narrow columns are written; other columns of ``docs`` are not read. An empty table gives no rows.
-    """
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col].cast("string")).alias("size"), mix_hash(docs[id_col], seed).alias("hash"))
-    rows = written(rows, "sizes")
+def goals(rows: DataFrame, weights: Sequence[int], share: tuple[int, int], most: int) -> DataFrame:
+    """s (source), source_size, target, rounds and below for each source of ``rows`` (source, size, hash): one row a source, written."""
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sources, weights, share, most)
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = written(goal.withColumn("rounds", rounds).withColumn("budget", F.col("target") - F.col("rounds") * F.col("source_size")), "targets")
     below = thresholds(rows, goal.where("source_size > 0"))
     goal = goal.join(below.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    goal = written(goal.select(F.col("source").alias("s"), "source_size", "target", "rounds", "below"), "goals")
-    # a table of one row a source: Spark sends it to all where its size, which is then known, is under the threshold
+    # Spark sends it to all where its size, which is then known, is under the threshold
+    return written(goal.select(F.col("source").alias("s"), "source_size", "target", "rounds", "below"), "goals")
+
+
+def _sizes(docs: DataFrame, seed: str, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return written(
+        docs.select(docs[id_col].alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col].cast("string")).alias("size"), mix_hash(docs[id_col], docs[text_col], seed).alias("hash")), "sizes"
+    )
+
+
+def _copies(hash_: Column, most: int) -> Column:
+    return F.least(F.col("rounds") + F.coalesce((hash_ < F.col("below")).cast("long"), F.lit(0)), F.lit(most))
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken for every row of ``docs``.
+
+    A source whose target is at least its size has each document floor(target / size) times and, up to the rest of the target, once
+    more. Null texts have size 0 and null sources are a source of their own. Rows that share an id share their
+    hash, and so are taken alike, each up to ``most`` times; rows without an id go by their text. The hash alone decides, so reruns agree. A source of
+    size 0 has target 0. Only narrow columns are written; other columns of ``docs`` are not read. An empty table gives no rows.
+    """
+    rows = _sizes(docs, seed, id_col, text_col, source_col)
+    goal = goals(rows, weights, share, most)
     out = rows.join(goal, rows["source"].eqNullSafe(goal["s"]))
-    copies = (F.col("rounds") + F.coalesce((F.col("hash") < F.col("below")).cast("long"), F.lit(0))).alias("copies")
-    out = out.select("doc_id", "source", "size", "source_size", "target", F.least(copies, F.lit(most)).alias("copies"))
+    out = out.select("doc_id", "source", "size", "source_size", "target", _copies(F.col("hash"), most).alias("copies"))
     return out.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row as often as mix() takes it. Rows carry their hash, so texts meet the sources' thresholds and no other rows."""
+    names = docs.columns
+    goal = goals(_sizes(docs, seed, id_col, text_col, source_col), weights, share, most)
+    out = docs.withColumn("hash_", mix_hash(docs[id_col], docs[text_col], seed))
+    out = out.join(goal, F.col(source_col).cast("string").eqNullSafe(F.col("s"))).withColumn("copies_", _copies(F.col("hash_"), most)).where("copies_ > 0")
+    return out.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_").cast("int")))).select(*[F.col(n) for n in names])

@@ -123,7 +123,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5""",
     "op10_source_mixing": """
 WITH d AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS h,
+  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, 'text:' || coalesce(text, ''))) AS h,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size
   FROM documents
 ), s AS (

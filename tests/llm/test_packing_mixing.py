@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -139,3 +139,14 @@ def test_mixing_empty_and_wordless(spark):
     assert mixing.mix(spark.createDataFrame([], DOCS)).count() == 0
     rows = mixing.mix(spark.createDataFrame([(1, None, None, "a", 0, 0, 0), (None, "", None, None, 0, 0, 0)], DOCS)).collect()
     assert [(r.size, r.target, r.taken) for r in rows] == [(0, 0.0, 0), (0, 0.0, 0)]
+
+
+def test_mixed_rows_of_one_id_in_two_sources(spark):
+    rows = [(k, f"w{k} " * 20, "en", f"s{k % 3}", 0, 0, 0) for k in range(60)] + [(7, "other " * 20, "en", "s0", 0, 0, 0), (None, "a b", "en", None, 0, 0, 0), (None, "c d", "en", None, 0, 0, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] += r.copies
+    got = Counter((r.doc_id, r.source) for r in mixing.mixed(docs).collect())
+    assert got == +want and max(got[7, "s0"], got[7, "s1"]) <= 2
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs.limit(0)).count() == 0
