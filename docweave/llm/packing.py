@@ -25,6 +25,8 @@ from .common import map_batches, prepare, written
 
 #: Distinct words whose ids a worker keeps at most, those met lately.
 CACHE_WORDS = 300_000
+#: Code points of the longest word that is kept; longer ones are encoded each time they come.
+LONG_WORD = 64
 
 
 class Encoder:
@@ -64,6 +66,9 @@ class Encoder:
         self.words.update((name, self.old[name]) for name in new if name in self.old)
         self.learn([name for name in new if name not in self.old])
         known = [self.words[name] for name in names]
+        for name in new:
+            if len(name) > LONG_WORD:
+                del self.words[name]
         flat = np.frombuffer(b"".join(known), "<u4")
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         begin = np.cumsum(size) - size
@@ -250,7 +255,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, length_col: str = "length") ->
     counts = {r[0]: r[1] for r in each.groupBy(length_col).agg(F.sum("n")).collect()}
     slots = spark.sparkContext.broadcast(Slots(plan(counts, capacity)))
     before = each.select(F.col("task").alias("of_task"), F.col(length_col).alias("of_length"), F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = rows.join(before, (rows["task"] == before["of_task"]) & (rows[length_col] == before["of_length"]))
+    # as many rows as tasks times lengths: never broadcast, however small it looks
+    ranked = rows.join(before.hint("merge"), (rows["task"] == before["of_task"]) & (rows[length_col] == before["of_length"]))
     ranked = ranked.select(*pieces.columns, (F.col("rank") + F.col("before")).alias("rank"))
     out_schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     out_names = [f.name for f in out_schema]
