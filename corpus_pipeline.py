@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import langid, linededup, mixing, neardup, packing
-from docweave.llm.common import written
+from docweave.llm.common import discard, tables, written
 from docweave.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,25 +27,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that five-word shingles with a similarity of 0.8 link: the one with the smallest id."""
-    gone = neardup.groups(docs, k=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*COLUMNS)
+    """Keeps one row of each group that five-word shingles with a similarity of 0.8 link: that with the smallest id.
+
+    Null and blank texts and rows without an id stay. Rows that share an id and differ in text are documents of their own; equal ones are one group.
+    """
+    return neardup.survivors(docs.select(*COLUMNS), k=5, percent=80).select(*COLUMNS)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages from the texts. A text that only repeats others stays as an empty one."""
+    """Removes repeated passages from the texts. A text that only repeats others stays as an empty one; null texts and rows without an id stay as they are."""
     return linededup.dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Gives each document as many rows as the mix takes it: none, one or two."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("id_"), "copies").distinct()
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("id_")))
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Gives each row as many copies as the mix takes it: none, one or two.
+
+    Null sources are a source of their own, null texts have size 0, and rows without an id go by their text.
+    """
+    return mixing.mixed(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' ids into sequences of 2048. A document that is there twice has its pieces twice."""
+    """Packs the documents' ids into sequences of 2048. A document that is there twice has its pieces twice; a null or empty text is the end's id alone."""
     pieces = packing.tokenize(docs, tokenizer_path(), capacity=2048, end_id=0)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
 
@@ -63,8 +66,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written in the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents, each written in the shared folder and read again; a stage's own tables go when it is written."""
+    docs, at_first = spark.read.parquet(f"{sf_dir}/documents.parquet"), tables()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        discard(spark, at_first, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
