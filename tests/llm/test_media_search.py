@@ -110,10 +110,11 @@ def test_dual_tree_is_exact(kind):
         x = x * 0.05 + np.repeat(rng.normal(size=(7, 12)), 100, axis=0)
     if kind == "ties":
         x = np.repeat(x[:20], 35, axis=0)
-    x, ids = np.floor(64 * x), rng.permutation(700).astype(np.int64)
+    x, ids = np.floor(64 * x).astype(np.int64), rng.permutation(700).astype(np.int64)
     q = ids % 10 == 0
-    search = covertree.Search(x[q], ids[q], x, ids, 5)
-    search.run()
+    search = covertree.Search(x[q], ids[q], 5)
+    for rows in np.split(np.arange(700), [250, 600]):
+        search.add(x[rows], ids[rows])
     got = sorted((int(i), r + 1, int(search.ids[k, r]), int(search.scores[k, r])) for k, i in enumerate(ids[q]) for r in range(5))
     assert got == _plain(x, ids, 10, 5)
     if kind == "clustered":
@@ -134,10 +135,12 @@ def test_cover_tree_covers():
 
 
 def test_top_k_operator(spark, monkeypatch):
-    monkeypatch.setattr(covertree, "DATA_BLOCK", 60)
-    monkeypatch.setattr(covertree, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(covertree, "BLOCK", 60)
+    monkeypatch.setattr(covertree, "CELL", 100)
+    monkeypatch.setattr(covertree, "PASS_BYTES", 6 * 8 * 2)  # two queries a pass
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 6)).astype(np.float32)
+    x[200:290] = x[199]  # a group of copies
     rows = [(int(k), [float(v) for v in x[k]], k % 3) for k in range(300)]
     rows[5], rows[50], rows[7], rows[8] = (5, None, 0), (50, [1.0, None], 0), (7, [float("nan")] * 6, 0), (8, [float("inf")] * 6, 0)
     rows += [(9, [float(v) for v in x[9]], 7), (None, [1.0] * 6, 0)]
@@ -149,6 +152,19 @@ def test_top_k_operator(spark, monkeypatch):
     assert sorted(tuple(r) for r in covertree.top_k(frame.repartition(9)).collect()) == got
 
 
+def test_clustered_vectors_are_pruned(spark, monkeypatch):
+    monkeypatch.setattr(covertree, "CELL", 100)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 6000)] + 0.02 * rng.normal(size=(6000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    visited = spark.sparkContext.accumulator(0)
+    got = sorted(tuple(r) for r in covertree.top_k(frame, visited=visited).collect())
+    assert got == _plain(np.floor(256 * x), np.arange(6000), 50, 5)
+    assert 0 < visited.value < 0.2 * 120 * 6000
+
+
 def test_top_k_odd_vectors(spark):
     schema = "vec_id long, embedding array<double>"
     assert covertree.top_k(spark.createDataFrame([], schema)).count() == 0
