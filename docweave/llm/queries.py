@@ -43,10 +43,10 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = tiff.store(table(spark, sf_dir, "documents"), width=64, compression=tiff.DEFLATE)
+    stored = tiff.store(table(spark, sf_dir, "documents"), width=64, page_rows=1024)
     stored = stored.withColumn("media_bytes", F.length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
-    pages = tiff.read_pages(stored)
-    return pages.select(
+    images = tiff.joined(tiff.read_pages(stored, features=False))
+    return images.select(
         "doc_id",
         "n_bytes",
         F.length("pixels").cast("long").alias("payload_bytes"),
@@ -55,7 +55,7 @@ def op4_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_bytes",
         "media_sha256",
         "feature",
-        "page",
+        "n_pages",
         "error",
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -310,10 +310,24 @@ def payload_of(text: str | None, unit: int = 64) -> tuple[int, bytes]:
     return len(data), data.ljust(max(unit, -(-len(data) // unit) * unit), b"\0")
 
 
-def store(docs: DataFrame, width: int = 64, compression: int = DEFLATE, predictor: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each whole text as a one-page image of 8-bit samples, ``width`` of them a row.
+def layout_of(payload: bytes) -> dict:
+    """The parameters of encode() for a payload, dealt by its checksum, so that equal payloads have equal images and every codec is in use."""
+    n = zlib.crc32(payload)
+    compression = (DEFLATE, PACKBITS, LZW, DEFLATE)[n & 3]
+    return {
+        "compression": compression,
+        "predictor": 1 if compression == PACKBITS else 1 + (n >> 2 & 1),
+        "tile": (32, 64) if n >> 3 & 1 else None,
+        "rows_per_strip": 128,
+        "order": "<>"[n >> 4 & 1],
+    }
 
-    A null or empty text is one row of zeros. Equal texts have equal media. Repeated rows give repeated rows.
+
+def store(docs: DataFrame, width: int = 64, page_rows: int = 1024, layout: Callable[[bytes], dict] = layout_of, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, media: each whole text as an image of 8-bit samples, ``width`` of them a row and ``page_rows`` rows a page.
+
+    ``layout`` has the parameters of encode() for a payload. A null or empty text is one row of zeros. Equal texts have equal media. Repeated rows
+    give repeated rows.
     """
     prepare(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -322,8 +336,9 @@ def store(docs: DataFrame, width: int = 64, compression: int = DEFLATE, predicto
         sizes, media = [], []
         for text in batch.column(1):
             n, payload = payload_of(text.as_py(), width)
+            image = np.frombuffer(payload, np.uint8).reshape(-1, width)
             sizes.append(n)
-            media.append(encode([np.frombuffer(payload, np.uint8).reshape(-1, width)], compression, predictor))
+            media.append(encode([image[y : y + page_rows] for y in range(0, len(image), page_rows)], **layout(payload)))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     out = map_batches(docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text")), rows, f"doc_id {id_type}, n_bytes long, media binary")
@@ -335,7 +350,7 @@ def feature_of(pixels: bytes) -> str:
     a = np.frombuffer(pixels, np.uint8)
     counts = np.bincount(a, minlength=256)
     share = counts[counts > 0] / max(1, len(a))
-    cuts = np.linspace(0, len(a), 66).astype(np.int64)
+    cuts = len(a) * np.arange(66, dtype=np.int64) // 65
     total = np.r_[0, np.cumsum(a, dtype=np.int64)]
     means = (total[cuts[1:]] - total[cuts[:-1]]) / np.maximum(1, cuts[1:] - cuts[:-1])
     bits = np.packbits(means[1:] > means[:-1]).tobytes().hex()
@@ -376,3 +391,52 @@ def read_pages(stored: DataFrame, media_col: str = "media", features: bool = Tru
         return out
 
     return map_batches(stored.select(*keep, media_col), rows, schema)
+
+
+def joined(pages: DataFrame) -> DataFrame:
+    """One row per image of what read_pages() gives, whose pages follow each other: its other columns, n_pages, pixels of all pages, error and feature.
+
+    Pages are joined as they pass, without a shuffle; a task holds one image at a time. If a page can't be read, the image has no pixels, and the first error.
+    """
+    prepare(pages.sparkSession)
+    own = [c.split()[0] for c in PAGE_COLUMNS.split(", ")] + ["feature"]
+    keep = [c for c in pages.columns if c not in own and c != "n_pages"]
+    names = [*keep, "n_pages", "pixels", "error", "feature"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema] + ["n_pages int, pixels binary, error string, feature string"])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
+        parts: list[bytes] = []
+        first, error, size = None, None, 0
+
+        def close() -> None:
+            nonlocal size
+            pixels = None if error else b"".join(parts)
+            done.append((first, len(parts), pixels, error, None if error else feature_of(pixels)))
+            size += len(pixels or b"")
+            parts.clear()
+
+        def out() -> pa.RecordBatch:
+            nonlocal size
+            columns = [pa.concat_arrays([d[0].column(k) for d in done]) for k in range(len(keep))]
+            columns += [pa.array([d[k] for d in done], t) for k, t in ((1, pa.int32()), (2, pa.binary()), (3, pa.string()), (4, pa.string()))]
+            done.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            page, pixels, errors = (batch.column(len(keep) + k) for k in range(3))
+            for k in range(batch.num_rows):
+                if page[k].as_py() == 0:
+                    if first is not None:
+                        close()
+                        if size > 16 << 20 or len(done) >= 256:
+                            yield out()
+                    first, error = batch.slice(k, 1), None
+                parts.append(pixels[k].as_py() or b"")
+                error = error or errors[k].as_py()
+        if first is not None:
+            close()
+            yield out()
+
+    return pages.select(*keep, "page", "pixels", "error").mapInArrow(over, schema)

@@ -1,8 +1,10 @@
 """op4 and op5: TIFF media and exact top-k search."""
 
 import hashlib
+import math
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -86,13 +88,48 @@ def test_tiff_query(spark, tmp_path):
     for r in rows:
         data = ((texts[r.doc_id] if r.doc_id is not None else "a") or "").encode()
         payload = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
-        media = tiff.encode([np.frombuffer(payload, np.uint8).reshape(-1, 64)])
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64)
+        media = tiff.encode([image[y : y + 1024] for y in range(0, len(image), 1024)], **tiff.layout_of(payload))
+        assert r.error is None and r.n_pages == -(-len(payload) // 65536)
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
         assert (r.tail_crc32, r.media_bytes, r.media_sha256, r.feature) == (zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), tiff.feature_of(payload))
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/e/documents.parquet")
     assert op4_tiff_pages(spark, f"{tmp_path}/e").count() == 0
 
 
+def _plain_feature(payload):
+    n, counts = len(payload), Counter(payload)
+    entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+    cuts = [n * k // 65 for k in range(66)]
+    means = [sum(payload[a:b]) / max(1, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    bits = sum((y > x) << (63 - k) for k, (x, y) in enumerate(zip(means, means[1:], strict=False)))
+    return f"{sum(payload) / n:.6f} {abs(entropy):.6f} {bits:016x}"
+
+
+def test_tiff_query_against_plain_bytes(spark):
+    """All documents: payloads, checksums and features from the texts alone, and every codec, predictor and layout in use."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows, layouts = op4_tiff_pages(spark, sf).collect(), set()
+    assert len(rows) == len(texts)
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r.tail_crc32, r.error, r.feature) == (zlib.crc32(payload[-64:]), None, _plain_feature(payload))
+        layouts.add(tuple(tiff.layout_of(payload).values()))
+    assert {x[0] for x in layouts} == {tiff.DEFLATE, tiff.LZW, tiff.PACKBITS} and {x[1] for x in layouts} == {1, 2} and len({x[2] for x in layouts}) == len({x[4] for x in layouts}) == 2
+
+
+def test_pages_of_an_image_are_joined(spark):
+    good, bad = tiff.encode([np.full((2, 4), k, np.uint8) for k in range(3)], tiff.PACKBITS), tiff.encode([np.ones((2, 4), np.uint8)])[:40]
+    stored = spark.createDataFrame([(1, good), (2, bad), (3, None), (1, good)], "doc_id long, media binary").coalesce(1)
+    assert [(r.doc_id, r.page) for r in tiff.read_pages(stored).collect()] == [(1, 0), (1, 1), (1, 2), (2, 0), (1, 0), (1, 1), (1, 2)]
+    rows = tiff.joined(tiff.read_pages(stored)).collect()
+    assert [(r.doc_id, r.n_pages, bytes(r.pixels) if r.pixels is not None else None) for r in rows] == [(1, 3, bytes([0] * 8 + [1] * 8 + [2] * 8)), (2, 1, None), (1, 3, bytes([0] * 8 + [1] * 8 + [2] * 8))]
+    assert rows[1].error
+
+
 def _plain(x, ids, every, k):
     out = []
     for q in range(len(x)):
