@@ -100,35 +100,80 @@ def test_chunks_and_windows():
         assert "".join(sample[a:b] for a, b in cut) == sample and all(b - a <= 100 for a, b in cut)
 
 
-def _name(case, raw, key=None, day=None, **more):
-    return registry.Name(case, raw, key if key is not None else raw.lower(), (day,) if day else (), **more)
+def _name(case, raw, key=None, day=None, same_as=None, apart=False):
+    return "p", case, raw, key if key is not None else raw.lower(), [day] if day else [], same_as, apart
 
 
-def _registered(names):
-    place = registry.Place("p", registry.Settings())
-    place.run(names)
-    return sorted(tuple(map(str, r)) for r in place.rows())
+def _registered(spark, names):
+    rows = spark.createDataFrame(names, "place string, case_id string, raw_name string, key string, dates array<date>, same_as string, apart boolean")
+    return sorted(tuple(map(str, r)) for r in registry.register(rows).collect())
 
 
-def test_registry():
+def test_registry(spark):
     names = [_name("1", "Nora M Castor"), _name("2", "Nora P Castor"), _name("3", "Nora Maya Castor"), _name("4", "Arlo Dunmore"), _name("5", "Arlo Dunmor"), _name("6", "A Dunmore"), _name("7", "The Judge", "")]
-    rows = _registered(names)
+    rows = _registered(spark, names)
     status = {r[1]: (r[5], r[6], r[8]) for r in rows}
     assert status["1"][0] == status["2"][0] == "registered" and len({r[3] for r in rows if r[1] in "12"}) == 2
     assert status["3"][:2] == ("pending", "Nora M Castor")
     assert status["6"] == ("pending", "Arlo Dunmor", "initials only") or status["6"][1] == "Arlo Dunmore"
     assert status["7"][2] == "only a title"
-    rng = random.Random(3)
-    for _ in range(5):
-        rng.shuffle(names)
-        assert _registered(names) == rows
+    random.Random(3).shuffle(names)
+    assert _registered(spark, names) == rows
 
 
-def test_registry_periods_and_decisions():
+def test_registry_periods_and_decisions(spark):
     day = lambda y: dt.date(y, 1, 1)
-    names = [_name("1", "Judith Halden", day=day(2000)), _name("2", "Judith Halden", day=day(2001)), _name("3", "Judith Halden", day=day(2015)), _name("4", "J. H.", "judith halden", same_as="Judith Halden"), _name("5", "X", "nobody here", same_as="Nobody Here"), _name("6", "Judith Halden", apart=True)]
-    status = {r[1]: r[5] for r in _registered(names)}
-    assert status == {"1": "registered", "2": "registered", "3": "pending", "4": "pending", "5": "pending", "6": "registered"}
+    names = [_name("1", "Judith Halden", day=day(2000)), _name("2", "Judith Halden", day=day(2001)), _name("3", "Judith Halden", day=day(2015)), _name("4", "J. H.", "judith halden", same_as="Judith Halden"), _name("5", "X", "nobody here", same_as="Nobody Here"), _name("6", "Judith Halden", apart=True), _name("8", "J H", "judith halden", day(2002), "Judith Halden")]
+    names += [_name("9", "Judge Lord", "", apart=True), _name("10", "Milo Fenwick"), _name("11", "M Fenwick", "milo fenwick", same_as="Milo Fenwick")]
+    rows = {r[1]: r for r in _registered(spark, names)}
+    assert {k: r[5] for k, r in rows.items()} == {"1": "registered", "2": "registered", "3": "pending", "4": "pending", "5": "pending", "6": "registered", "8": "registered", "9": "registered", "10": "registered", "11": "registered"}
+    assert rows["8"][3] == rows["1"][3] != rows["6"][3] and rows["3"][6:9] == ("Judith Halden", "100.0", "same name, years apart from its other cases")
+    assert rows["11"][3:5] == (rows["10"][3], "Milo Fenwick")
+
+
+@pytest.mark.parametrize(
+    ("keys", "groups"),
+    [
+        (["ilena varda", "ilena vardah", "ilena vardas"], 1),
+        (["ilena m varda", "ilena p varda"], 2),  # initials that exclude each other
+        (["ilena m varda", "ilena mira varda"], 2),  # they fit, but are too unlike to join
+        (["varda ilena", "ilena varda"], 1),
+        (["a b castor", "a c castor", "a castor"], 3),
+    ],
+)
+def test_clusters_of_keys(keys, groups):
+    of = registry.clustered(keys, registry.Settings())
+    assert len(set(of.values())) == groups and all(root == min(k for k in of if of[k] == root) for root in of.values())
+
+
+@pytest.mark.parametrize(("short", "full", "fits"), [("i varda", "ilena varda", True), ("i vardah", "ilena varda", True), ("p varda", "ilena varda", False), ("i m varda", "ilena varda", True), ("i varda", "varda", True), ("i m varda", "ilena p varda", False)])
+def test_initials_abbreviate(short, full, fits):
+    assert registry.Keys([short, full], registry.Settings().titles).abbreviates(0, 1, 75.0) == fits
+
+
+def test_used_places_are_not_found_again():
+    body = "The court sat at noon today. Then more. The court sat at noon today."
+    finder = similarity.Finder(body)
+    assert finder.consume("The court sat at noon", [(0, 30)])[0] == 0
+    assert finder.consume("The court sat at noon")[0] == 40
+    assert finder.consume("The court sat at noon") is None or finder.consume("The court sat at noon")[2] != "exact"
+    # exact in any window goes before similar in the first
+    text = "the judge denied the notion for bail today" + " " * 20 + "the judge denied the motion for bail today"
+    assert similarity.Finder(text).locate("the judge denied the motion for bail today", [(0, 45), (55, 110)])[2:] == ("exact", 100.0)
+
+
+def test_search_passages_leave_footnotes_out():
+    body = "The court heard the witness at length, and she told it what she had seen there. " * 3
+    text = f"{body}\n106 It is unclear; see A/HRC/45/16, para. 51\nhttps://example.net/x\n{body}\n21 of the\n"
+    got = [text[a:b] for a, b in segments.search_passages(text)]
+    assert len(got) == 2 and got[0] == body.strip() and got[1].startswith("The court heard") and "unclear" not in "".join(got)
+    assert segments.note_share("60 Id.\n") == 1.0 and segments.note_share("A line.\n60 Id. at 4, supra\n") > 0.5
+    assert segments.footnotes(["sentence goes on", "21 of the law", "", "101 Judgment at 13."]) == [False, False, False, True]
+
+
+def test_excerpts_and_list_items():
+    text = "Orders:\n- The first. It stands.\n- The second."
+    assert [text[a:b] for a, b in segments.item_sentences(text)] == ["Orders:", "- The first.", "It stands.", "- The second."]
 
 
 def test_lsh_free_completeness(spark):
