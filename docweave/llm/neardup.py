@@ -35,8 +35,8 @@ MISS = 1e-6
 SKETCH_SAMPLES = 512
 SKETCH_BITS = 2048
 SIGMAS = 5.5
-#: Classes in a chunk of a bucket, about. Small ones are dealt out evenly, and a forest of each takes less.
-CHUNK = 128
+#: Classes in a chunk of a bucket, about. The larger, the fewer components are left to compare.
+CHUNK = 1024
 #: Classes on either side of a tile, about.
 TILE = 512
 
@@ -226,7 +226,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def by_chunk(df: DataFrame, pairs: Callable[[pa.RecordBatch, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
     """(u, v) nodes of the index pairs that ``pairs`` gives for whole chunks.
 
-    Rows are dealt by bucket and chunk and sorted by them; ``pairs`` gets a batch of whole chunks and where each begins, and the end.
+    Rows are dealt by ranges of bucket and chunk and sorted by them; ``pairs`` gets a batch of whole chunks and where each begins, and the end.
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +252,8 @@ def by_chunk(df: DataFrame, pairs: Callable[[pa.RecordBatch, np.ndarray], Iterat
                 for u, v in pairs(rows, starts):
                     yield pa.RecordBatch.from_arrays([node.take(pa.array(u)), node.take(pa.array(v))], names=["u", "v"])
 
-    df = df.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
+    # by ranges: a chunk stays whole, and tasks have about as many rows each, where hashes would put several large chunks in one
+    df = df.repartitionByRange("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
     return df.mapInArrow(over, "u long, v long")
 
 
