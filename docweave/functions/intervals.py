@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,6 +22,16 @@ def family_z(alpha: float, most: int) -> list[float]:
     return [z_value(1 - alpha / k) for k in range(1, most + 1)]
 
 
+def family_quantiles(numbers: DataFrame, number: str, quantile: str, alpha: float) -> DataFrame:
+    """``numbers`` (a column of numbers of comparisons from 1 on) with each one's quantile."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z_value(1 - alpha / k) for k in batch.column(0).to_pylist()], pa.float64())], names=[number, quantile])
+
+    return numbers.select(number).mapInArrow(over, f"{number} long, {quantile} double")
+
+
 def wilson(k: Column, n: Column, z: Column) -> tuple[Column, Column]:
     """Score interval for k of n; exactly 0 and 1 at the extremes; null for n = 0."""
     k, n = k.cast("double"), F.nullif(n, F.lit(0)).cast("double")

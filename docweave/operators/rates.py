@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.functions.intervals import family_z, newcombe, wilson, z_value
+from docweave.functions.intervals import family_quantiles, newcombe, wilson, z_value
 
 FAR = "9999-12-31"
 
@@ -95,11 +95,10 @@ def rate_counts(rulings: DataFrame, rate: Rate) -> DataFrame:
     return out.select(*where, "judge", "n", "k", less("all_n", "my_n").alias("base_n"), less("all_k", "my_k").alias("base_k"), less("judges", "gone").alias("base_judges"))
 
 
-def indicators(rulings: DataFrame, rates: list[Rate], minimum: int = 5, alpha: float = 0.05, most: int = 64) -> DataFrame:
+def indicators(rulings: DataFrame, rates: list[Rate], minimum: int = 5, alpha: float = 0.05) -> DataFrame:
     """One row per judge, charge and rate: counts, and if both sides have ``minimum`` cases the rates, their intervals and the pattern.
 
-    The difference's confidence is split over the indicators that are shown for the judge; ``most`` is the most there can be (rates times
-    charges). Numbers of hidden indicators are null.
+    The difference's confidence is split over the indicators that are shown for the judge, however many. Numbers of hidden indicators are null.
     """
     counts = None
     for rate in rates:
@@ -107,9 +106,10 @@ def indicators(rulings: DataFrame, rates: list[Rate], minimum: int = 5, alpha: f
         counts = one if counts is None else counts.unionByName(one)
     counts = counts.withColumn("shown", (F.col("n") >= minimum) & (F.col("base_n") >= minimum))
     counts = counts.withColumn("compared", F.sum(F.col("shown").cast("int")).over(Window.partitionBy("place", "judge")))
-    # one row for each possible number of comparisons
-    quantiles = counts.sparkSession.createDataFrame([(k + 1, z) for k, z in enumerate(family_z(alpha, most))], "k_ int, zk double")
-    counts = counts.join(F.broadcast(quantiles), F.greatest("compared", F.lit(1)) == F.col("k_"))
+    # a quantile for each number of comparisons that there is: Spark sends the table to all where it is small
+    numbers = counts.select(F.greatest("compared", F.lit(1)).cast("long").alias("k_")).distinct()
+    quantiles = family_quantiles(numbers, "k_", "zk", alpha)
+    counts = counts.withColumn("k_", F.greatest("compared", F.lit(1)).cast("long")).join(quantiles, "k_")
     z = F.lit(z_value(1 - alpha))
     low, high = wilson(F.col("k"), F.col("n"), z)
     base_low, base_high = wilson(F.col("base_k"), F.col("base_n"), z)

@@ -56,13 +56,13 @@ def filtered_notes(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT l_suppkey AS precedent, p_brand AS facet, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS kind, p_type AS fact FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 45),
+WITH f AS (SELECT l_suppkey AS precedent, p_brand AS facet, ((l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) * 100 + l_quantity::BIGINT AS pos, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS kind, p_type AS fact FROM lineitem JOIN part ON l_partkey = p_partkey),
 d AS (SELECT precedent, facet, fact, min(pos) AS p FROM f GROUP BY ALL)
 SELECT precedent, facet, (SELECT string_agg(fact, '|' ORDER BY p) FROM d WHERE d.precedent = f.precedent AND d.facet = f.facet) AS facts, arg_min(kind, pos) FILTER (kind IS NOT NULL) AS kind FROM f GROUP BY precedent, facet""")
 def merged_facets(t: Tables) -> DataFrame:
     """Facts of a facet in order, and the first finding's kind."""
-    f = t.lineitem.where("l_quantity > 45").join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    f = f.select(F.col("l_suppkey").alias("precedent"), F.col("p_brand").alias("facet"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("kind"), F.array("p_type").alias("facts"))
+    f = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+    f = f.select(F.col("l_suppkey").alias("precedent"), F.col("p_brand").alias("facet"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("pos"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("kind"), F.array("p_type").alias("facts"))
     return findings.merged_items(f, ["precedent", "facet"], "facts", "kind", "pos").withColumn("facts", F.array_join("facts", "|"))
 
 
@@ -121,14 +121,14 @@ def argument_passages(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT a.vec_id AS precedent, b.vec_id % 60 AS paragraph, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 5 AND b.vec_id <> a.vec_id),
+WITH p AS (SELECT a.vec_id AS precedent, b.vec_id % 60 AS paragraph, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id),
 s AS (SELECT precedent, count(DISTINCT paragraph) AS support, max(c) AS cosine FROM p WHERE c >= 0.2 GROUP BY precedent)
 SELECT precedent, support, round(cosine, 4) AS cosine, row_number() OVER (ORDER BY round(cosine + 0.01 * least(support, 10), 6) DESC, precedent)::INT AS rank FROM s QUALIFY rank <= 5""")
 def wording_support(t: Tables) -> DataFrame:
     """Distinct paragraphs that support a precedent, and the five best by cosine and support."""
     from docweave.operators import vectors
 
-    q = t.embeddings.where("vec_id % 20 = 5").select(F.col("vec_id").alias("precedent"), F.col("embedding").alias("q"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("precedent"), F.col("embedding").alias("q"))
     c = vectors.paired(q, t.embeddings).where("vec_id <> precedent").withColumn("c", vectors.dot(F.col("q"), F.col("embedding"))).where("c >= 0.2")
     s = c.groupBy("precedent").agg(F.count_distinct(F.col("vec_id") % 60).alias("support"), F.max("c").alias("cosine"))
     top = s.withColumn("score", F.round(F.col("cosine") + 0.01 * F.least("support", F.lit(10)), 6)).orderBy(F.col("score").desc(), "precedent").limit(5)
@@ -137,10 +137,10 @@ def wording_support(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT c_name AS surname, min(c_mktsegment) AS party FROM (SELECT substr(c_name, length(c_name) - 1) AS c_name, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 9 = 0) GROUP BY c_name HAVING count(DISTINCT c_mktsegment) = 1""")
+SELECT c_name AS surname, min(c_mktsegment) AS party FROM (SELECT substr(c_name, length(c_name) - 1) AS c_name, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) GROUP BY c_name HAVING count(DISTINCT c_mktsegment) = 1""")
 def counsel_roster(t: Tables) -> DataFrame:
     """Surnames that belong to one party only."""
-    rows = t.customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & (F.col("c_custkey") % 9 == 0)).select(F.substr("c_name", F.length("c_name") - 1).alias("surname"), "c_mktsegment")
+    rows = t.customer.where(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.substr("c_name", F.length("c_name") - 1).alias("surname"), "c_mktsegment")
     return rows.groupBy("surname").agg(F.count_distinct("c_mktsegment").alias("n"), F.min("c_mktsegment").alias("party")).where("n = 1").drop("n")
 
 
@@ -244,10 +244,10 @@ def renewal_shares(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey AS id, o_custkey IS NOT NULL AS known, o_totalprice >= 0 AS priced, o_orderstatus IN ('F', 'O', 'P') AS coded, o_orderdate IS NOT NULL AS dated FROM orders WHERE o_orderkey % 5 = 0""")
+SELECT o_orderkey AS id, o_custkey IS NOT NULL AS known, o_totalprice >= 0 AS priced, o_orderstatus IN ('F', 'O', 'P') AS coded, o_orderdate IS NOT NULL AS dated FROM orders""")
 def record_violations(t: Tables) -> DataFrame:
     """The rules that a record keeps or breaks, as columns."""
-    return t.orders.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").isNotNull().alias("known"), (F.col("o_totalprice") >= 0).alias("priced"), F.col("o_orderstatus").isin("F", "O", "P").alias("coded"), F.col("o_orderdate").isNotNull().alias("dated"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").isNotNull().alias("known"), (F.col("o_totalprice") >= 0).alias("priced"), F.col("o_orderstatus").isin("F", "O", "P").alias("coded"), F.col("o_orderdate").isNotNull().alias("dated"))
 
 
 @query("""

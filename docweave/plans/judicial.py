@@ -16,6 +16,7 @@ RATES = [
     rates.Rate("pending_any", ("F", "P", "O"), ("P",), "any"),
     rates.Rate("final_all", ("F", "O"), ("F",), "all"),
 ]
+#: Rates times market segments: what the SQL has quantiles for.
 MOST = 20
 ALPHA = 0.05
 
@@ -135,7 +136,7 @@ SELECT place, charge, judge, rate_id, n, base_n, base_judges, shown, compared, N
 @query(_sql())
 def judge_rate_indicators(t: Tables) -> DataFrame:
     """Rates per judge, charge and rate against the peers of the same court, with intervals and patterns."""
-    return rates.indicators(rulings(t), RATES, minimum=5, alpha=ALPHA, most=MOST)
+    return rates.indicators(rulings(t), RATES, minimum=5, alpha=ALPHA)
 
 
 @query(f"""

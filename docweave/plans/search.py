@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.operators import reuse, sequences, vectors
@@ -77,12 +77,12 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in reuse.STOP_WORDS) + "]"
 
 
 @query(rf"""
-SELECT doc_id, len(c) AS n, array_to_string(list_sort(c)[1:20], ' ') AS sample FROM (
+SELECT doc_id, len(c) AS n, array_to_string(list_sort(c), ' ') AS words FROM (
   SELECT doc_id, list_filter(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\p{{N}}+'))), lambda w: NOT list_contains({_STOP}, w)) AS c FROM documents)""")
 def document_content_words(t: Tables) -> DataFrame:
     """Distinct content words of each document."""
     c = reuse.content_words(F.col("text"))
-    return t.documents.select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.array_join(F.slice(F.array_sort("c"), 1, 20), " ").alias("sample"))
+    return t.documents.select("doc_id", c.alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.array_join(F.array_sort("c"), " ").alias("words"))
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
@@ -108,36 +108,55 @@ def _queries(t: Tables, every: int) -> DataFrame:
 
 
 @query(f"""
-SELECT query_id, vec_id, round(c, 4) AS cosine FROM (SELECT a.vec_id AS query_id, b.vec_id, {_DOT.format('a.embedding', 'b.embedding')} AS c, b.label FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, vec_id, round(c, 4) AS cosine FROM (SELECT a.vec_id AS query_id, b.vec_id, {_DOT.format('a.embedding', 'b.embedding')} AS c, b.label FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
 WHERE c >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) <= 3""")
 def wording_matches(t: Tables) -> DataFrame:
     """The three nearest vectors of a stated query set, from a least cosine on."""
-    pairs = vectors.paired(_queries(t, 25), t.embeddings).where("query_id <> vec_id").withColumn("c", vectors.clipped(vectors.dot(F.col("q"), F.col("embedding")))).where("c >= 0.3")
+    pairs = vectors.paired(_queries(t, 20), t.embeddings).where("query_id <> vec_id").withColumn("c", vectors.clipped(vectors.dot(F.col("q"), F.col("embedding")))).where("c >= 0.3")
     return vectors.top_k(pairs, ["query_id"], [F.col("c").desc(), F.col("vec_id")], 3).select("query_id", "vec_id", F.round("c", 4).alias("cosine"))
 
 
+_CONTENT = rf"list_filter(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 3 AND NOT regexp_full_match(w, '\p{{N}}+'))), lambda w: NOT list_contains({_STOP}, w))"
+_DIM = 256
+
+
 @query(f"""
-WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, {_DOT.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 1 AND a.vec_id <> b.vec_id WHERE b.vec_id % 3 <> 0)
-SELECT query_id, vec_id, round(c, 4) AS cosine, abs(query_id - vec_id) % 5 AS shared_words FROM p WHERE c >= 0.2 AND abs(query_id - vec_id) % 5 >= 3 AND query_id % 40 <> 1
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) = 1""")
+WITH d AS (SELECT doc_id, {_CONTENT} AS c FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL),
+b AS (SELECT item_id, {_CONTENT} AS c FROM benchmark WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, unnest(c) AS w FROM d), bw AS (SELECT item_id, unnest(c) AS w FROM b),
+dh AS (SELECT doc_id, ('0x' || substr(sha1(w), 1, 8))::BIGINT % {_DIM} AS h, count(*) AS n FROM dw GROUP BY ALL), bh AS (SELECT item_id, ('0x' || substr(sha1(w), 1, 8))::BIGINT % {_DIM} AS h, count(*) AS n FROM bw GROUP BY ALL),
+dn AS (SELECT doc_id, sqrt(sum(n * n)) AS l FROM dh GROUP BY ALL), bn AS (SELECT item_id, sqrt(sum(n * n)) AS l FROM bh GROUP BY ALL),
+s AS (SELECT doc_id, item_id, count(*) AS shared_words FROM dw JOIN bw USING (w) GROUP BY ALL HAVING count(*) >= 3),
+p AS (SELECT doc_id, item_id, round(sum(dh.n * bh.n) / any_value(dn.l * bn.l), 6) AS cosine, any_value(shared_words) AS shared_words FROM s JOIN dh USING (doc_id) JOIN bh USING (item_id, h) JOIN dn USING (doc_id) JOIN bn USING (item_id) GROUP BY ALL)
+SELECT doc_id AS query_id, item_id, cosine, shared_words FROM p WHERE cosine >= 0.35 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, item_id) = 1""")
 def paraphrase_matches(t: Tables) -> DataFrame:
-    """For passages that aren't copied, the nearest source over the cosine threshold that also shares three words."""
-    copied = _queries(t, 20).limit(0).select("query_id").unionByName(t.embeddings.where("vec_id % 40 = 1").select(F.col("vec_id").alias("query_id")))
-    q = t.embeddings.where("vec_id % 20 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).join(copied, "query_id", "left_anti")
-    pairs = vectors.paired(q, t.embeddings.where("vec_id % 3 <> 0")).where("query_id <> vec_id")
-    pairs = pairs.withColumn("c", vectors.dot(F.col("q"), F.col("embedding"))).withColumn("shared_words", F.abs(F.col("query_id") - F.col("vec_id")) % 5).where("c >= 0.2 AND shared_words >= 3")
-    return vectors.top_k(pairs, ["query_id"], [F.col("c").desc(), F.col("vec_id")], 1).select("query_id", "vec_id", F.round("c", 4).alias("cosine"), "shared_words")
+    """For a stated set of documents the nearest benchmark text by hashed words over the cosine threshold that also shares three content words.
+
+    Pairs come from the words that they share, so none is scored that can't match.
+    """
+
+    def side(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        c = reuse.content_words(F.col("text"))
+        rows = rows.where("text IS NOT NULL").select(F.col(key), c.alias("c"))
+        return rows.select(key, F.explode("c").alias("w")), rows.select(key, vectors.hashed_words(F.col("c"), _DIM).alias(f"v_{key}"))
+
+    dw, dv = side(t.documents.where("doc_id % 20 = 0"), "doc_id")
+    bw, bv = side(t.benchmark, "item_id")
+    pairs = dw.join(bw, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared_words")).where("shared_words >= 3")
+    scored = pairs.join(dv, "doc_id").join(bv, "item_id").withColumn("cosine", F.round(vectors.dot(F.col("v_doc_id"), F.col("v_item_id")) / (vectors.norm(F.col("v_doc_id")) * vectors.norm(F.col("v_item_id"))), 6))
+    best = vectors.top_k(scored.where("cosine >= 0.35"), ["doc_id"], [F.col("cosine").desc(), F.col("item_id")], 1)
+    return best.select(F.col("doc_id").alias("query_id"), "item_id", "cosine", "shared_words")
 
 
 @query(f"""
-WITH c AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round_even({_DOT.format('a.embedding', 'b.embedding')}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0),
+WITH c AS (SELECT a.vec_id AS query_id, b.vec_id, b.label, round_even({_DOT.format('a.embedding', 'b.embedding')}, 4) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0),
 top AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) <= 200)
 SELECT query_id, vec_id, cosine, (label % 3) / 3.0 AS share, round(0.75 * cosine + 0.25 * (label % 3) / 3.0, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY round(0.75 * cosine + 0.25 * (label % 3) / 3.0, 6) DESC, vec_id)::INT AS rank
 FROM top QUALIFY rank <= 10""")
 def passage_search(t: Tables) -> DataFrame:
     """K4, C11: two hundred candidates by cosine, ranked again with the share of the query's words."""
-    q = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     pairs = vectors.paired(q, t.embeddings).withColumn("cosine", F.bround(vectors.dot(F.col("q"), F.col("embedding")), 4))
     top = vectors.top_k(pairs, ["query_id"], [F.col("cosine").desc(), F.col("vec_id")], 200).drop("rank")
     share = (F.col("label") % 3) / 3.0
@@ -152,18 +171,18 @@ SELECT facet, vec_id % 50 AS precedent, arg_max(vec_id, (c, -vec_id)) AS fact, r
 def nearest_facts(t: Tables) -> DataFrame:
     """Per facet and precedent the fact nearest to the facet's mean vector, the earliest on a tie."""
     means = vectors.mean_vectors(t.embeddings, ["label"], "embedding").withColumnRenamed("embedding", "q")
-    c = t.embeddings.join(F.broadcast(means), "label").withColumn("c", vectors.dot(F.col("q"), F.col("embedding")))
+    c = t.embeddings.join(means, "label").withColumn("c", vectors.dot(F.col("q"), F.col("embedding")))
     return c.groupBy(F.col("label").alias("facet"), (F.col("vec_id") % 50).alias("precedent")).agg(F.max_by("vec_id", F.struct("c", -F.col("vec_id"))).alias("fact"), F.round(F.max("c"), 4).alias("cosine"))
 
 
 @query(f"""
-WITH c AS (SELECT a.vec_id AS query_id, b.vec_id, b.vec_id % 40 AS doc, {_DOT.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 125 = 0 AND a.vec_id <> b.vec_id),
+WITH c AS (SELECT a.vec_id AS query_id, b.vec_id, b.vec_id % 40 AS doc, {_DOT.format('a.embedding', 'b.embedding')} AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 d AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc ORDER BY c DESC, vec_id) AS in_doc FROM c),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (in_doc > 2)::INT, c DESC, vec_id)::INT AS place FROM d)
 SELECT query_id, vec_id, doc, place FROM f WHERE place <= 6""")
 def chat_sources(t: Tables) -> DataFrame:
     """Six sources, at most two of a document before others are exhausted."""
-    q = t.embeddings.where("vec_id % 125 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     c = vectors.paired(q, t.embeddings).where("query_id <> vec_id").select("query_id", "vec_id", (F.col("vec_id") % 40).alias("doc"), vectors.dot(F.col("q"), F.col("embedding")).alias("c"))
     order = [F.col("c").desc(), F.col("vec_id")]
     d = vectors.top_k(c, ["query_id", "doc"], order, 6)
@@ -172,16 +191,16 @@ def chat_sources(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH c AS (SELECT a.vec_id AS query_id, b.vec_id, b.vec_id % 30 AS reference, {_DOT.format('a.embedding', 'b.embedding')} AS c, len(list_intersect(range(a.vec_id % 4), range(b.vec_id % 4))) / 3.0 AS overlap FROM embeddings a JOIN embeddings b ON a.vec_id % 125 = 3 AND b.vec_id % 125 <> 3),
+WITH c AS (SELECT a.vec_id AS query_id, b.vec_id, b.vec_id % 30 AS reference, {_DOT.format('a.embedding', 'b.embedding')} AS c, len(list_intersect(range(a.vec_id // 20 % 4), range(b.vec_id % 4))) / 3.0 AS overlap FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, reference ORDER BY c DESC, vec_id) AS k FROM c),
 r AS (SELECT query_id, reference, round(0.75 * max(c) + 0.25 * max(overlap) FILTER (k = 1), 6) AS score, arg_max(vec_id, (c, -vec_id)) AS best FROM b WHERE k <= 2 GROUP BY ALL)
 SELECT query_id, reference, score, best, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, reference)::INT AS rank FROM r QUALIFY rank <= 3""")
 def triangulated_references(t: Tables) -> DataFrame:
     """The two best passages of each reference, then three references by cosine and shared indicators."""
-    q = t.embeddings.where("vec_id % 125 = 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     marks = lambda c: F.when(c % 4 > 0, F.sequence(F.lit(0).cast("long"), c % 4 - 1)).otherwise(F.array().cast("array<bigint>"))
-    c = vectors.paired(q, t.embeddings.where("vec_id % 125 <> 3"))
-    c = c.select("query_id", "vec_id", (F.col("vec_id") % 30).alias("reference"), vectors.dot(F.col("q"), F.col("embedding")).alias("c"), (F.size(F.array_intersect(marks(F.col("query_id")), marks(F.col("vec_id")))) / 3.0).alias("overlap"))
+    c = vectors.paired(q, t.embeddings).where("query_id <> vec_id")
+    c = c.select("query_id", "vec_id", (F.col("vec_id") % 30).alias("reference"), vectors.dot(F.col("q"), F.col("embedding")).alias("c"), (F.size(F.array_intersect(marks(F.floor(F.col("query_id") / 20)), marks(F.col("vec_id")))) / 3.0).alias("overlap"))
     b = vectors.top_k(c, ["query_id", "reference"], [F.col("c").desc(), F.col("vec_id")], 2)
     r = b.groupBy("query_id", "reference").agg(F.round(0.75 * F.max("c") + 0.25 * F.max(F.when(F.col("rank") == 1, F.col("overlap"))), 6).alias("score"), F.max_by("vec_id", F.struct("c", -F.col("vec_id"))).alias("best"))
     return sequences.top_per_group(r, ["query_id"], [F.col("score").desc(), F.col("reference")], 3)
@@ -190,44 +209,63 @@ def triangulated_references(t: Tables) -> DataFrame:
 @query(f"""
 SELECT o.vec_id, o.label, round(max({_DOT.format('o.embedding', 'f.embedding')}) FILTER (f.label = o.label), 4) AS own, round(max({_DOT.format('o.embedding', 'f.embedding')}) FILTER (f.label <> o.label), 4) AS context,
   max({_DOT.format('o.embedding', 'f.embedding')}) FILTER (f.label <> o.label) > max({_DOT.format('o.embedding', 'f.embedding')}) FILTER (f.label = o.label) AS context_nearer
-FROM embeddings o JOIN embeddings f ON o.vec_id % 25 = 2 AND f.vec_id % 10 = 0 GROUP BY ALL""")
+FROM embeddings o JOIN embeddings f ON o.vec_id % 20 = 0 AND f.vec_id <> o.vec_id GROUP BY ALL""")
 def context_resemblance(t: Tables) -> DataFrame:
     """Whether an observation is nearer to a context fact than to its own indicator's."""
-    facts = t.embeddings.where("vec_id % 10 = 0").select(F.col("vec_id").alias("fact"), F.col("embedding").alias("f"), F.col("label").alias("f_label"))
-    c = vectors.paired(t.embeddings.where("vec_id % 25 = 2"), facts).withColumn("c", vectors.dot(F.col("embedding"), F.col("f")))
+    facts = t.embeddings.select(F.col("vec_id").alias("fact"), F.col("embedding").alias("f"), F.col("label").alias("f_label"))
+    c = vectors.paired(t.embeddings.where("vec_id % 20 = 0"), facts).where("vec_id <> fact").withColumn("c", vectors.dot(F.col("embedding"), F.col("f")))
     own = F.max(F.when(F.col("label") == F.col("f_label"), F.col("c")))
     other = F.max(F.when(F.col("label") != F.col("f_label"), F.col("c")))
     return c.groupBy("vec_id", "label").agg(F.round(own, 4).alias("own"), F.round(other, 4).alias("context"), (other > own).alias("context_nearer"))
 
 
-_FACETS = "f AS (SELECT DISTINCT l_suppkey AS precedent, p_brand AS facet FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48)"
+_FACETS = "f AS (SELECT DISTINCT l_suppkey AS precedent, p_brand || ' ' || p_type AS facet FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def _facet() -> F.Column:
+    return F.concat_ws(" ", "p_brand", "p_type").alias("facet")
 
 
 def facets(t: Tables) -> DataFrame:
-    """A supplier is a precedent, a brand a facet."""
-    return t.lineitem.where("l_quantity > 48").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("precedent"), F.col("p_brand").alias("facet")).distinct()
+    """A supplier is a precedent, a brand and type a facet."""
+    return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("precedent"), _facet()).distinct()
+
+
+def weights(f: DataFrame) -> DataFrame:
+    """facet, df and idf."""
+    n = f.agg(F.count_distinct("precedent").alias("n"))  # one row
+    return f.groupBy("facet").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("facet", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 @query(f"WITH {_FACETS} SELECT facet, count(*) AS df, ln(((SELECT count(DISTINCT precedent) FROM f) + 1) / (count(*) + 1)) + 1 AS idf FROM f GROUP BY facet")
 def facet_weights(t: Tables) -> DataFrame:
     """Document frequency and weight of each facet."""
-    f = facets(t)
-    n = f.agg(F.count_distinct("precedent").alias("n"))
-    return f.groupBy("facet").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("facet", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return weights(facets(t))
 
 
 @query(f"""
 WITH {_FACETS}, d AS (SELECT facet, ln(((SELECT count(DISTINCT precedent) FROM f) + 1) / (count(*) + 1)) + 1 AS idf FROM f GROUP BY facet),
-c AS (SELECT DISTINCT l_orderkey AS case_id, p_brand AS facet FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 40 = 0),
+c AS (SELECT DISTINCT l_orderkey AS case_id, p_brand || ' ' || p_type AS facet FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 20 = 0),
 l AS (SELECT case_id, precedent, count(*) AS shared, round(sum(idf), 6) AS idf_sum FROM c JOIN f USING (facet) JOIN d USING (facet) GROUP BY ALL
   HAVING count(*) >= 2 AND bool_or(facet < 'Brand#3'))
 SELECT case_id, precedent, shared, idf_sum, row_number() OVER (PARTITION BY case_id ORDER BY idf_sum DESC, shared DESC, precedent DESC)::INT AS rank FROM l QUALIFY rank <= 8""")
 def precedent_links(t: Tables) -> DataFrame:
-    """Precedents that share two facets with a case, one of them of procedure; the best eight, ties by descending id."""
+    """Precedents that share two facets with a case, one of them of procedure; the best eight, ties by descending id.
+
+    A link needs two facets, so pairs are made on all of a case's facets but its most common one, and the shared ones are then summed for those pairs alone.
+    """
     f = facets(t)
-    n = f.agg(F.count_distinct("precedent").alias("n"))
-    idf = f.groupBy("facet").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("facet", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    cases = t.lineitem.where("l_orderkey % 40 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("case_id"), F.col("p_brand").alias("facet")).distinct()
-    links = cases.join(f, "facet").join(idf, "facet").groupBy("case_id", "precedent").agg(F.count("*").alias("shared"), F.round(F.sum("idf"), 6).alias("idf_sum"), F.bool_or(F.col("facet") < "Brand#3").alias("procedure"))
-    links = links.where("shared >= 2 AND procedure").drop("procedure")
+    idf = weights(f)
+    cases = t.lineitem.where("l_orderkey % 20 = 0").join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("case_id"), _facet()).distinct().join(idf, "facet")
+    common = F.row_number().over(Window.partitionBy("case_id").orderBy(F.col("df").desc(), "facet"))
+    own = cases.withColumn("place", common)
+    rare = own.where("place > 1").join(f, "facet").select("case_id", "precedent", "facet", "idf")
+    first = own.where("place = 1").select(F.col("case_id"), F.col("facet").alias("first"), F.col("idf").alias("first_idf"))
+    pairs = rare.groupBy("case_id", "precedent").agg(F.count("*").alias("n"), F.sum("idf").alias("s"), F.bool_or(F.col("facet") < "Brand#3").alias("p")).join(first, "case_id")
+    has = f.select(F.col("facet").alias("first"), "precedent", F.lit(True).alias("has"))
+    pairs = pairs.join(has, ["first", "precedent"], "left").withColumn("has", F.coalesce("has", F.lit(False)))
+    links = pairs.select(
+        "case_id", "precedent", (F.col("n") + F.col("has").cast("long")).alias("shared"), F.round(F.col("s") + F.when(F.col("has"), F.col("first_idf")).otherwise(0.0), 6).alias("idf_sum"),
+        (F.col("p") | (F.col("has") & (F.col("first") < "Brand#3"))).alias("procedure"),
+    ).where("shared >= 2 AND procedure").drop("procedure")
     return sequences.top_per_group(links, ["case_id"], [F.col("idf_sum").desc(), F.col("shared").desc(), F.col("precedent").desc()], 8)

@@ -185,12 +185,13 @@ def overlapping_spans(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH {_CUT}, q AS (SELECT doc_id, text, substr(text, s + 1, 2 + (doc_id % 9)::INT) AS quote FROM c)
-SELECT doc_id, n::INT AS occurrences, CASE WHEN n = 1 THEN (instr(text, quote) - 1)::INT END AS start FROM (
-  SELECT *, len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, length(quote)) = quote)) AS n FROM q WHERE doc_id % 10 = 3)""")
+WITH {_CUT}, q AS (SELECT doc_id, text, substr(text, s + 1, 2 + (doc_id % 9)::INT) AS quote FROM c),
+u AS (SELECT doc_id, quote, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS i FROM q),
+w AS (SELECT doc_id, quote, i, string_agg(ch, '') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS s FROM u)
+SELECT doc_id, (count_if(starts_with(s, quote)))::INT AS occurrences, CASE WHEN count_if(starts_with(s, quote)) = 1 THEN (min(i) FILTER (starts_with(s, quote)))::INT END AS start FROM w GROUP BY doc_id""")
 def unique_quotes(t: Tables) -> DataFrame:
     """J16 exact, C24: quotes that stand in their document once; overlapping repeats count."""
-    rows = t.documents.where("length(text) > 80 AND doc_id % 10 = 3")
+    rows = t.documents.where("length(text) > 80")
     s = ((F.col("doc_id") * 7) % 40).cast("int")
     rows = rows.select("doc_id", "text", F.substr("text", s + 1, (2 + F.col("doc_id") % 9).cast("int")).alias("quote"))
     return rows.select("doc_id", spans.occurrences(F.col("text"), F.col("quote")).alias("occurrences"), spans.located(F.col("text"), F.col("quote")).cast("int").alias("start"))
@@ -210,24 +211,24 @@ _NEG = "('no', 'not', 'never', 'without', 'denied', 'refused', 'absent', 'unable
 
 
 @query(rf"""
-WITH b AS (SELECT doc_id, left(text, 120) || ' No. 45 was not denied; it wasn''t none' AS s, left(text, 120) || CASE WHEN doc_id % 2 = 0 THEN ' was not denied it wasn''t none' ELSE ' was denied' END AS q FROM documents),
+WITH b AS (SELECT doc_id, text || ' No. 45 was not denied; it wasn''t none' AS s, text || CASE WHEN doc_id % 2 = 0 THEN ' was not denied it wasn''t none' ELSE ' was denied' END AS q FROM documents),
 w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(regexp_replace(lower(s), ' no\. 45', ' 45'), '[a-z'']+'), lambda x: x IN {_NEG} OR x LIKE '%n''t')) AS a, list_distinct(list_filter(regexp_extract_all(lower(q), '[a-z'']+'), lambda x: x IN {_NEG} OR x LIKE '%n''t')) AS b FROM b)
 SELECT doc_id, len(list_filter(a, lambda x: NOT list_contains(b, x))) > 0 AS mismatch FROM w""")
 def negation_mismatch(t: Tables) -> DataFrame:
     """Quotes that drop a negation of their sentence."""
-    base = F.substr("text", F.lit(1), F.lit(120))
+    base = F.col("text")
     s = F.concat(base, F.lit(" No. 45 was not denied; it wasn't none"))
     q = F.concat(base, F.when(F.col("doc_id") % 2 == 0, " was not denied it wasn't none").otherwise(" was denied"))
     return t.documents.select("doc_id", (F.size(F.array_except(text.negations(s), text.negations(q))) > 0).alias("mismatch"))
 
 
 @query("""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE doc_id % 4 = 1), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w IN ('no', 'not', 'never', 'nor', 'in', 'on') GROUP BY ALL),
-h AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 200)), '[a-z]+')) AS w FROM documents WHERE doc_id % 4 = 1), k AS (SELECT doc_id, w, count(*) AS n FROM h GROUP BY ALL)
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE w IN ('no', 'not', 'never', 'nor', 'in', 'on') GROUP BY ALL),
+h AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 200)), '[a-z]+')) AS w FROM documents), k AS (SELECT doc_id, w, count(*) AS n FROM h GROUP BY ALL)
 SELECT c.doc_id, (count_if(c.n > coalesce(k.n, 0)))::BIGINT AS dropped FROM c LEFT JOIN k ON c.doc_id = k.doc_id AND c.w = k.w GROUP BY c.doc_id""")
 def dropped_negations(t: Tables) -> DataFrame:
     """Words that a sentence has more often than its quote, by a multiset difference."""
-    d = t.documents.where("doc_id % 4 = 1")
+    d = t.documents
     counted = lambda c: d.select("doc_id", F.explode(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1))).alias("w")).groupBy("doc_id", "w").agg(F.count("*").alias("n"))
     whole = counted(F.col("text")).where(F.col("w").isin("no", "not", "never", "nor", "in", "on"))
     quote = counted(F.substr("text", F.lit(1), F.lit(200))).withColumnRenamed("n", "m")

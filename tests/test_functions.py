@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import intervals, similarity
-from docweave.operators import registry, reuse, segments, sequences, spans, text, timeline
+from docweave.operators import rates, registry, reuse, segments, sequences, spans, text, timeline
 
 WILSON = [(5, 10, 0.2366, 0.7634), (0, 10, 0, 0.2775), (10, 10, 0.7225, 1), (81, 263, 0.2553, 0.3662), (15, 148, 0.0624, 0.1605), (0, 20, 0, 0.1611), (1, 29, 0.0061, 0.1718)]
 NEWCOMBE = [(56, 70, 48, 80, 0.0524, 0.3339), (9, 10, 3, 10, 0.1705, 0.8090), (6, 7, 2, 7, 0.0582, 0.8062), (5, 56, 0, 29, -0.0381, 0.1926)]
@@ -34,6 +34,13 @@ def test_patterns_at_three_comparisons(spark, counts, fires):
     assert (low > 0 or high < 0) == fires
 
 
+def test_judges_with_many_comparisons_stay(spark):
+    rows = [(c, "p", f"charge{c % 65}", f"j{j}", "F" if c % 3 else "O", dt.date(2020, 1, 1), 0, 0, 10 * c + j) for c in range(650) for j in range(2) if (c // 65) % 2 == j]
+    rulings = spark.createDataFrame(rows, "case_id long, place string, charge string, judge string, code string, date date, doc long, doc_order long, pos long")
+    got = rates.indicators(rulings, [rates.Rate("r", ("F", "O"), ("F",), "first")]).collect()
+    assert len(got) == 130 and {r.compared for r in got} == {65} and all(r.shown and r.diff_low is not None for r in got)
+
+
 def test_day_level_interval(spark):
     row = lambda seq, kind, day: (1, kind, seq, dt.datetime(2025, 2, day), "date", False)
     events = spark.createDataFrame([row(1, "arrest", 9), row(2, "hearing", 14)], "case_id long, type string, seq long, ts timestamp, precision string, needs_review boolean")
