@@ -38,7 +38,11 @@ def passage_reasons(t: Tables) -> DataFrame:
     return rules.classified(rows, "conv_id", "turn", SPEAKERS).select("conv_id", "turn", "kind", "reason")
 
 
-@query()
+@query("""
+WITH p(k, judgment, stage, kind, least, most) AS (VALUES
+  (0, NULL, 'requested', 'imprisonment', 30, 30), (1, true, 'imposed', 'imprisonment', 18, 18), (2, NULL, 'statutory', 'imprisonment', NULL, 60), (4, true, 'imposed', 'fine', NULL, NULL),
+  (5, NULL, 'statutory', 'death_penalty', NULL, NULL), (7, NULL, 'requested', 'life_imprisonment', NULL, NULL), (8, true, 'imposed', 'imprisonment', 36, 60))
+SELECT o_orderkey, stage, kind, least::DOUBLE AS least, most::DOUBLE AS most FROM orders JOIN p ON o_orderkey % 9 = k AND (judgment IS NULL OR o_orderkey % 2 = 0)""")
 def penalty_statements(t: Tables) -> DataFrame:
     """Stage, kind and months of the penalties that sentences state."""
     rows = t.orders.select("o_orderkey", _sentence(PENALTIES, F.col("o_orderkey")).alias("text"), (F.col("o_orderkey") % 2 == 0).alias("judgment"))
@@ -55,7 +59,10 @@ def statute_citations(t: Tables) -> DataFrame:
     return t.orders.select(F.col("o_orderkey").alias("id"), F.size(c).cast("long").alias("n"), F.coalesce(F.get(c, 0), F.lit("")).alias("first"))
 
 
-@query()
+@query("""
+WITH a(k, numbers, unreadable) AS (VALUES (0, [1, 3], false), (1, [], false), (2, [2], false), (3, [], true), (4, [4], true), (5, [], false)),
+j AS (SELECT o_orderkey, list_sort(list_distinct(x.numbers || y.numbers)) AS n, x.unreadable OR y.unreadable AS u FROM orders JOIN a x ON o_orderkey % 6 = x.k JOIN a y ON o_custkey % 6 = y.k)
+SELECT o_orderkey, array_to_string(n, ',') AS numbers, len(n) > 0 AS addressed, len(n) > 0 OR NOT u AS checked FROM j""")
 def answer_checks(t: Tables) -> DataFrame:
     """Passages that answers name; an answer that can't be read leaves the argument unchecked."""
     answers = ["P1, P3", "none", "P2: the court answers", "see above", "4 and 9", ""]
@@ -65,7 +72,8 @@ def answer_checks(t: Tables) -> DataFrame:
         numbers, unreadable = rules.named(items, 5)
         return numbers, bool(numbers), bool(numbers) or not unreadable
 
-    return rules.mapped(rows, check, ["items"], ["o_orderkey"], "numbers array<bigint>, addressed boolean, checked boolean")
+    found = rules.mapped(rows, check, ["items"], ["o_orderkey"], "numbers array<bigint>, addressed boolean, checked boolean")
+    return found.withColumn("numbers", F.array_join(F.transform("numbers", lambda n: n.cast("string")), ","))
 
 
 @query()

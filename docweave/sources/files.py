@@ -86,3 +86,44 @@ def write_version(df: DataFrame, root: str, pointer_rows: str = "current") -> st
 def read_version(spark: SparkSession, root: str, pointer_rows: str = "current") -> DataFrame:
     version = spark.read.parquet(f"{root}/{pointer_rows}").agg(F.max_by("version", "at")).first()[0]
     return spark.read.parquet(f"{root}/versions/{version}")
+
+
+def read_checked(spark: SparkSession, path: str, expected: dict[str, str], columns: dict[str, str]) -> DataFrame:
+    """A Parquet corpus whose meta table (name, value) beside it says what ``expected`` says and whose columns have the types given; anything else is refused."""
+    meta = {r[0]: r[1] for r in spark.read.parquet(f"{path}/meta").where(F.col("name").isin(*expected)).collect()}
+    wrong = sorted(name for name, value in expected.items() if meta.get(name) != value)
+    if wrong:
+        raise ValueError(f"corpus {path} was built otherwise: {', '.join(f'{n} is {meta.get(n)!r}, not {expected[n]!r}' for n in wrong)}")
+    rows = spark.read.parquet(f"{path}/rows")
+    types = dict(rows.dtypes)
+    odd = sorted(c for c, kind in columns.items() if types.get(c) != kind)
+    if odd:
+        raise ValueError(f"corpus {path} has other columns: {', '.join(f'{c} {types.get(c)}' for c in odd)}")
+    return rows
+
+
+def safe_mapping(source: str, most_chars: int = 1_000_000) -> dict:
+    """A YAML mapping without aliases (which can grow without end), repeated keys or objects; anything else is an error."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise RuntimeError("reading YAML needs the yaml package") from error
+    if len(source) > most_chars:
+        raise ValueError(f"over {most_chars} characters")
+    if any(isinstance(event, yaml.events.AliasEvent) for event in yaml.parse(source, Loader=yaml.SafeLoader)):
+        raise ValueError("aliases aren't read")
+    stack = [yaml.compose(source, Loader=yaml.SafeLoader)]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, yaml.MappingNode):
+            keys = [key.value for key, _ in node.value if isinstance(key, yaml.ScalarNode)]
+            twice = sorted({k for k in keys if keys.count(k) > 1})
+            if twice or len(keys) < len(node.value):
+                raise ValueError(f"keys stand twice or aren't plain: {', '.join(twice)}")
+            stack += [value for _, value in node.value]
+        elif isinstance(node, yaml.SequenceNode):
+            stack += node.value
+    out = yaml.safe_load(source)
+    if not isinstance(out, dict):
+        raise ValueError("not a mapping")
+    return out

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators import sequences
@@ -68,3 +69,21 @@ def test_windowed_counts(spark):
     at = dt.datetime(2025, 1, 1, 5)
     df = spark.createDataFrame([(at, "a"), (at, "a"), (at + dt.timedelta(days=1), "b")], "ts timestamp, kind string")
     assert sorted((r.kind, r.n) for r in decisions.counted(df, "ts", "kind").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_corpus_of_another_build_is_refused(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    spark.createDataFrame([("schema", "3"), ("model", "m")], "name string, value string").write.parquet(f"{path}/meta")
+    spark.createDataFrame([(1, "a")], "id long, text string").write.parquet(f"{path}/rows")
+    assert files.read_checked(spark, path, {"schema": "3"}, {"id": "bigint"}).count() == 1
+    with pytest.raises(ValueError, match="schema is '3'"):
+        files.read_checked(spark, path, {"schema": "4", "model": "m"}, {})
+    with pytest.raises(ValueError, match="text string"):
+        files.read_checked(spark, path, {"schema": "3"}, {"text": "binary"})
+
+
+def test_manifests_are_plain_mappings():
+    assert files.safe_mapping("a: 1\nb: [x, {c: d}]") == {"a": 1, "b": ["x", {"c": "d"}]}
+    for bad in ("a: &x [1]\nb: *x", "a: 1\na: 2", "a: {b: 1, b: 2}", "- 1", "a: !!python/object/apply:os.getcwd []", "? [1]\n: 2"):
+        with pytest.raises(Exception):  # noqa: B017
+            files.safe_mapping(bad)
