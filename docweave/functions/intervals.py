@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from statistics import NormalDist
 
 import pyarrow as pa
@@ -32,22 +32,47 @@ def family_quantiles(numbers: DataFrame, number: str, quantile: str, alpha: floa
     return numbers.select(number).mapInArrow(over, f"{number} long, {quantile} double")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: written out in full, these formulas repeat each part many times, and take far longer to compile than to run."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _bounds(k: Column, n: Column, z: Column) -> Column:
+    """low and high of the score interval for k of n, null for n = 0."""
+
+    def interval(v: Column) -> Column:
+        low = F.when(v["k"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), v["centre"] - v["half"]))
+        high = F.when(v["k"] == v["n"], 1.0).otherwise(F.least(F.lit(1.0), v["centre"] + v["half"]))
+        return F.when(v["n"].isNotNull(), F.struct(low.alias("low"), high.alias("high")))
+
+    def centred(v: Column) -> Column:
+        k, n, z, p, scale = (v[c] for c in ("k", "n", "z", "p", "scale"))
+        half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
+        return _let(F.struct(k.alias("k"), n.alias("n"), ((p + z * z / (2 * n)) / scale).alias("centre"), half.alias("half")), interval)
+
+    def shared(v: Column) -> Column:
+        k, n, z = v["k"], v["n"], v["z"]
+        return _let(F.struct(k.alias("k"), n.alias("n"), z.alias("z"), (k / n).alias("p"), (1 + z * z / n).alias("scale")), centred)
+
+    return _let(F.struct(k.cast("double").alias("k"), F.nullif(n, F.lit(0)).cast("double").alias("n"), z.alias("z")), shared)
+
+
 def wilson(k: Column, n: Column, z: Column) -> tuple[Column, Column]:
     """Score interval for k of n; exactly 0 and 1 at the extremes; null for n = 0."""
-    k, n = k.cast("double"), F.nullif(n, F.lit(0)).cast("double")
-    p = k / n
-    scale = 1 + z * z / n
-    centre = (p + z * z / (2 * n)) / scale
-    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    low = F.when(k == 0, 0.0).otherwise(F.greatest(F.lit(0.0), centre - half))
-    high = F.when(k == n, 1.0).otherwise(F.least(F.lit(1.0), centre + half))
-    return F.when(n.isNotNull(), low), F.when(n.isNotNull(), high)
+    own = _bounds(k, n, z)
+    return own["low"], own["high"]
 
 
 def newcombe(k1: Column, n1: Column, k2: Column, n2: Column, z: Column) -> tuple[Column, Column]:
     """Interval for k1/n1 - k2/n2 from the two score intervals."""
-    p1, p2 = k1 / F.nullif(n1, F.lit(0)), k2 / F.nullif(n2, F.lit(0))
-    low1, high1 = wilson(k1, n1, z)
-    low2, high2 = wilson(k2, n2, z)
-    square = lambda x: x * x
-    return p1 - p2 - F.sqrt(square(p1 - low1) + square(high2 - p2)), p1 - p2 + F.sqrt(square(high1 - p1) + square(p2 - low2))
+
+    def difference(v: Column) -> Column:
+        p1, p2, one, two = v["p1"], v["p2"], v["one"], v["two"]
+        square = lambda x: x * x
+        low = p1 - p2 - F.sqrt(square(p1 - one["low"]) + square(two["high"] - p2))
+        high = p1 - p2 + F.sqrt(square(one["high"] - p1) + square(p2 - two["low"]))
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    p1, p2 = (k.cast("double") / F.nullif(n, F.lit(0)) for k, n in ((k1, n1), (k2, n2)))
+    out = _let(F.struct(p1.alias("p1"), p2.alias("p2"), _bounds(k1, n1, z).alias("one"), _bounds(k2, n2, z).alias("two")), difference)
+    return out["low"], out["high"]
