@@ -19,15 +19,15 @@ def op1_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captures = warc.archive(table(spark, sf_dir, "pages"), min_payload_bytes=0)
-    note = F.col("metadata.fields")
-    page = F.nullif(note["pageId"], F.lit("")).cast("long")
+    captures = warc.resolved(warc.archive(table(spark, sf_dir, "pages"), min_payload_bytes=0))
+    page = lambda of: F.nullif(F.col(f"{of}.fields")["pageId"], F.lit("")).cast("long")
     return captures.select(
-        page.alias("page_id"),
-        F.coalesce(F.col("main.payload_bytes"), note["payloadBytes"].cast("long")).alias("payload_bytes"),
+        page("metadata").alias("page_id"),
+        # rows that are there twice have record ids of their place, which others can't refer to: then the writer's note says what a revisit repeats
+        F.coalesce(F.col("main.payload_bytes"), F.col("response.main.payload_bytes"), F.col("metadata.fields")["payloadBytes"].cast("long")).alias("payload_bytes"),
         F.col("main.payload_digest").alias("payload_digest"),
         F.col("main.warc_type").alias("record_type"),
-        note["refersToPage"].cast("long").alias("refers_to"),
+        F.coalesce(page("response.metadata"), F.col("metadata.fields")["refersToPage"].cast("long")).alias("refers_to"),
     )
 
 

@@ -5,7 +5,7 @@ response or revisit in WARC-Concurrent-To. Each record is a gzip member of its o
 .warc.gz file; segments are rows (archive, segment, content) of a Parquet table in the shared folder, which only Spark
 has to reach. Reading: segments, or .warc and .warc.gz files read as binaryFile, are parsed record by record.
 Assembly: request, response or revisit, and metadata are joined by their concurrent-to identifiers into one nested row
-per capture; a revisit is then joined with the response that it refers to.
+per capture; resolved() joins a revisit with the response that it refers to.
 """
 
 from __future__ import annotations
@@ -214,7 +214,7 @@ def read_table(spark: SparkSession, path: str, payloads: bool = False) -> DataFr
 
 
 def read_files(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """Records of .warc and .warc.gz files."""
+    """Records of .warc and .warc.gz files. A file is one row, so one task's memory holds it; Spark reads none over 2 GB: cut larger archives at member ends first."""
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.lit(0).alias("segment"), "content")
     return read(files, payloads)
 
@@ -224,7 +224,8 @@ def assemble(records: DataFrame) -> DataFrame:
 
     Records meet by the record that they are concurrent to; a response or revisit stands for itself. Where several records
     of a kind name the same response, the one with the smallest id is taken, and n_records counts them all. Requests and metadata
-    that name no existing record give a row of their own whose main is null. warcinfo and other kinds take no part.
+    that name no existing record give a row of their own whose main is null. warcinfo and other kinds take no part. A response whose payload
+    hasn't the digest that its header states isn't complete.
     """
     kept = ["record_id", "target_uri", "warc_date", "payload_digest", "payload_ok", "payload_bytes", "refers_to", "warc_type", "fields"]
     is_main = F.col("warc_type").isin("response", "revisit")
@@ -241,7 +242,20 @@ def assemble(records: DataFrame) -> DataFrame:
             F.count("*").alias("n_records"),
         )
     )
-    return grouped.withColumn("complete", F.col("main").isNotNull() & F.col("request").isNotNull() & F.col("metadata").isNotNull())
+    whole = F.col("main").isNotNull() & F.col("request").isNotNull() & F.col("metadata").isNotNull() & F.coalesce(F.col("main.payload_ok"), F.lit(True))
+    return grouped.withColumn("complete", whole)
+
+
+def resolved(captures: DataFrame) -> DataFrame:
+    """``captures`` with response: main and metadata of the response that a revisit refers to, null for other captures and where that is not there.
+
+    Captures are written first, and the responses too, so that one which very many revisits refer to can be split where they meet.
+    """
+    captures = written(captures, "captures")
+    responses = captures.where(F.col("main.warc_type") == "response").select(F.col("main.record_id").alias("of_"), F.struct("main", "metadata").alias("response"))
+    responses = written(responses, "responses")
+    to = F.when(F.col("main.warc_type") == "revisit", F.col("main.refers_to"))
+    return captures.withColumn("to_", to).join(responses, F.col("to_") == F.col("of_"), "left").drop("to_", "of_")
 
 
 def archive(pages: DataFrame, min_payload_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
