@@ -9,7 +9,7 @@
 4. Buckets are cut into chunks of bounded size, each with the bucket's smallest class. In a chunk a maximum spanning forest by
    estimate proposes links, so a bucket of n classes proposes n - 1 at most. The links are confirmed on the full sets and joined to components.
 5. In buckets that still hold several components, every class outside the bucket's largest component is compared with all classes of
-   other components, in square tiles of bounded size; pairs whose estimate lies within ``SIGMAS`` standard deviations (of sampling and bitmap) of
+   other components by larger sketches, in square tiles of bounded size; pairs whose estimate lies within ``SIGMAS`` standard deviations (of sampling and bitmap) of
    the threshold are confirmed too. So no link between components is left out, while pairs inside one are never listed.
 """
 
@@ -34,6 +34,9 @@ ROWS_PER_BAND = 4
 MISS = 1e-6
 SKETCH_SAMPLES = 512
 SKETCH_BITS = 2048
+#: Larger sketches for what is left to compare: the narrower the band of doubt around the threshold, the fewer pairs have to be confirmed.
+FINE_SAMPLES = 2048
+FINE_BITS = 8192
 SIGMAS = 5.5
 #: Classes in a chunk of a bucket, about. The larger, the fewer components are left to compare.
 CHUNK = 1024
@@ -213,6 +216,17 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int, id_col: str, text_col:
     return map_batches(source.select("node", "text"), rows, "node long, shingles array<bigint>, sketch binary")
 
 
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """node and a larger sketch of ``sets`` (node, shingles)."""
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [s.values.to_numpy().view(np.uint64) for s in batch.column(1)]
+        sketches = odd_sketch(minhashes(own, 29, FINE_SAMPLES), FINE_BITS)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sketches], pa.binary())], names=["node", "sketch"])
+
+    return map_batches(sets.select("node", "shingles"), rows, "node long, sketch binary")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 |A and B| >= percent |A or B| on the full sets."""
     one = sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
@@ -317,7 +331,9 @@ def linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     sizes = labelled.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     split = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("n_components")).where("n_components > 1")
     split = written(split.select("bucket", F.col("main.component").alias("main"), F.col("main.c").alias("n_main")), "split")
-    open_ = labelled.join(split, "bucket").withColumn("rest", F.col("component") != F.col("main"))
+    open_ = written(labelled.join(split, "bucket").withColumn("rest", F.col("component") != F.col("main")), "open")
+    fine = written(fine_sketches(near.join(open_.select("node").distinct(), "node", "left_semi")), "fine")
+    doubt = least_estimate(threshold, FINE_SAMPLES, FINE_BITS)
     down = F.ceil((F.col("n") - F.col("n_main")) / TILE).cast("int")
     across_ = F.ceil(F.col("n_main") / TILE).cast("int")
     # tiles of a group of the rest and one of the largest component, and of two groups of the rest
@@ -328,11 +344,11 @@ def linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     open_ = open_.withColumn("down", down.cast("long")).withColumn("across", across_.cast("long"))
     open_ = open_.withColumn("chunk", F.explode(F.when(F.col("rest"), F.concat(pairs_of_rest, beside)).otherwise(below)))
     keys = classes.select("node", "band_keys")
-    open_ = open_.select("bucket", "chunk", "node", "component", "rest", own.alias("group")).join(sketches, "node").join(keys, "node")
+    open_ = open_.select("bucket", "chunk", "node", "component", "rest", own.alias("group")).join(fine, "node").join(keys, "node")
 
     def across(rows: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of a rest class and one of another component, in the first bucket that both share."""
-        sketch, key = _arrays(rows, "sketch", "<u8", width), _arrays(rows, "band_keys", "<i8", hashes // ROWS_PER_BAND)
+        sketch, key = _arrays(rows, "sketch", "<u8", FINE_BITS // 64), _arrays(rows, "band_keys", "<i8", hashes // ROWS_PER_BAND)
         component, rest, bucket, part = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("component", "rest", "bucket", "group"))
         for begin, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             here = np.arange(begin, end)
@@ -341,7 +357,7 @@ def linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
             found = [], []
             for i in here[~main].tolist():
                 other = here[(component[begin:end] != component[i]) & (((here > i) & ((part[begin:end] != part[i]) | (not two))) if of_rest else main)]
-                other = other[estimate(sketch[i], sketch[other], SKETCH_SAMPLES) >= least]
+                other = other[estimate(sketch[i], sketch[other], FINE_SAMPLES) >= doubt]
                 if len(other):
                     first = key[i][(key[other] == key[i]).argmax(axis=1)]
                     other = other[first == bucket[begin]]
@@ -357,6 +373,7 @@ def linked(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
         final = written(components(edges), "final")
     docs_of = classes.select("node", "set_key", "doc")
     smallest = final.join(docs_of, "node").groupBy(F.col("component").alias("of")).agg(F.min("doc").alias("smallest"))
+    smallest = written(smallest, "smallest")
     label = docs_of.join(final, "node", "left").join(smallest, F.col("component") == F.col("of"), "left")
     label = label.select("set_key", F.coalesce("component", "node").alias("component"), F.coalesce("smallest", "doc").alias("component_id"))
     label = written(label, "labels")

@@ -96,11 +96,11 @@ def test_odd_sketch_estimates():
         assert abs(np.mean(errors)) < 0.015 and np.max(np.abs(errors)) < 4 * (similarity * (1 - similarity) / neardup.SKETCH_SAMPLES) ** 0.5 + 0.02
 
 
+@pytest.mark.parametrize(("n", "samples"), [(neardup.SKETCH_BITS, neardup.SKETCH_SAMPLES), (neardup.FINE_BITS, neardup.FINE_SAMPLES)])
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
-def test_odd_sketches_lose_no_more_than_bands(threshold):
+def test_odd_sketches_lose_no_more_than_bands(threshold, n, samples):
     # exact for ideal hashes: samples that differ are binomial, each toggles two bits at random
-    n, samples = neardup.SKETCH_BITS, neardup.SKETCH_SAMPLES
-    least = neardup.least_estimate(threshold, samples)
+    least = neardup.least_estimate(threshold, samples, n)
     odd = np.arange(n + 1)
     lost = 1 + n / (4 * samples) * np.log(np.maximum(1 - 2 * odd / n, 1e-9)) < least
     at, chance, loss = np.zeros(n + 1), (threshold) ** samples, 0.0
