@@ -26,7 +26,7 @@ STOP_WORDS = (
 
 
 def shingles(passages: DataFrame, size: int = 5, min_words: int = 6) -> DataFrame:
-    """case_id, passage, gram, start, end of every occurrence of every shingle; passages under ``min_words`` have none.
+    """case_id, passage, gram (64 bits of a shingle), start, end of every occurrence of every shingle; passages under ``min_words`` have none.
 
     One pass over each text in Arrow batches: an array of a text's words, exploded with its neighbours, is far slower in the JVM.
     """
@@ -55,7 +55,8 @@ def shingles(passages: DataFrame, size: int = 5, min_words: int = 6) -> DataFram
         rows = pa.array(at, pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(grams), pa.array(starts, pa.int64()), pa.array(ends, pa.int64())], names=names)
 
-    return passages.select("case_id", "passage", F.col("start").cast("long").alias("start"), "text").mapInArrow(over, schema)
+    found = passages.select("case_id", "passage", F.col("start").cast("long").alias("start"), "text").mapInArrow(over, schema)
+    return found.withColumn("gram", F.xxhash64("gram"))
 
 
 def pair_overlaps(left: DataFrame, right: DataFrame, same_case: bool = False) -> DataFrame:

@@ -19,12 +19,17 @@ ENGLISH_WORDS = "the and of to that with which was were for this has have been".
 MONTHS = "january february march april may june july august september october november december".split()
 
 
+def placed(parts: Column, gap: int = 1) -> Column:
+    """start and text of parts that follow each other with ``gap`` characters between them: one pass, and only numbers are carried along."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(parts, none, lambda s, x: F.struct((s["at"] + F.length(x) + gap).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+    return F.zip_with(starts, parts, lambda at, x: F.struct(at.alias("start"), x.alias("text")))
+
+
 def pieces(df: DataFrame, id_col: str, text: Column, separator: str = "\n") -> DataFrame:
     """id, line (from 0), start and text of the parts of a text between ``separator``, offsets of the whole text."""
-    rows = df.select(F.col(id_col).alias("id"), F.split(text, F.lit(separator)).alias("all_"))
-    rows = rows.select("id", "all_", F.posexplode("all_").alias("line", "text"))
-    before = F.aggregate(F.slice("all_", F.lit(1), F.col("line")), F.lit(0), lambda n, x: n + F.length(x) + len(separator))
-    return rows.select("id", F.col("line"), before.alias("start"), "text")
+    rows = df.select(F.col(id_col).alias("id"), F.posexplode(placed(F.split(text, F.lit(separator)), len(separator))).alias("line", "part_"))
+    return rows.select("id", "line", "part_.start", "part_.text")
 
 
 def trimmed(rows: DataFrame) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.operators import reuse, sequences, vectors
+from docweave.operators import reuse, sequences, text, vectors
 
+from . import base
 from .base import Tables, query
 
 LONG = 400
@@ -14,10 +15,8 @@ LONG = 400
 
 def passages(t: Tables) -> DataFrame:
     """Lines of documents as reasoning passages, with the code-point offset of each line."""
-    parts = F.split("text", "\n")
-    rows = t.documents.select(F.col("doc_id").alias("case_id"), F.posexplode(parts).alias("line", "text"), parts.alias("all"))
-    start = F.aggregate(F.slice("all", F.lit(1), F.col("line")), F.lit(0).cast("long"), lambda n, x: n + F.length(x) + 1)
-    return rows.select("case_id", F.col("line").cast("long").alias("passage"), start.alias("start"), "text")
+    rows = text.pieces(t.documents, "doc_id", F.col("text"))
+    return rows.select(F.col("id").alias("case_id"), F.col("line").cast("long").alias("passage"), F.col("start").cast("long").alias("start"), "text")
 
 
 def sources(t: Tables) -> DataFrame:
@@ -44,19 +43,19 @@ v AS (SELECT acc.*, covered / n_passage AS passage_containment FROM acc JOIN cov
 @query(f"WITH {_TOKENS.strip()} SELECT case_id, passage, source::BIGINT AS source, shared, n_passage, n_source, jaccard, containment FROM q")
 def shingle_overlaps(t: Tables) -> DataFrame:
     """Passages and sources that share a five-word shingle, with exact Jaccard and containment."""
-    return reuse.pair_overlaps(reuse.shingles(passages(t)), reuse.shingles(sources(t)))
+    return reuse.pair_overlaps(base.once(reuse.shingles(passages(t))), base.once(reuse.shingles(sources(t))))
 
 
 @query(f"WITH {_TOKENS.strip()} SELECT case_id, passage, source::BIGINT AS source, shared, round_even(jaccard, 4) AS jaccard, round_even(containment, 4) AS containment, round_even(passage_containment, 4) AS passage_containment FROM v")
 def verbatim_reuse(t: Tables) -> DataFrame:
     """A1: passages that copy sources, by the union of the accepted ones."""
-    return reuse.verbatim(reuse.shingles(passages(t)), reuse.shingles(sources(t)))
+    return reuse.verbatim(base.once(reuse.shingles(passages(t))), base.once(reuse.shingles(sources(t))))
 
 
 @query()
 def reuse_scores(t: Tables) -> DataFrame:
     """A2, A3, C4: merged covered characters and the share of each document's text that copies."""
-    left, right = reuse.shingles(passages(t)), reuse.shingles(sources(t))
+    left, right = base.once(reuse.shingles(passages(t))), base.once(reuse.shingles(sources(t)))
     ranges = reuse.covered_ranges(left, right, reuse.verbatim(left, right), ["case_id"])
     return reuse.score(ranges, passages(t))
 
