@@ -36,8 +36,3 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Callable
         return function
 
     return add
-
-
-def once(df: DataFrame) -> DataFrame:
-    """``df`` worked out a single time for several uses: written to the session's checkpoint folder, or kept by Spark where none is set, as in tests."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()

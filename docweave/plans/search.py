@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.operators import reuse, sequences, text, vectors
+from docweave.operators.storage import once
 
-from . import base
 from .base import Tables, query
 
 LONG = 400
@@ -43,19 +43,19 @@ v AS (SELECT acc.*, covered / n_passage AS passage_containment FROM acc JOIN cov
 @query(f"WITH {_TOKENS.strip()} SELECT case_id, passage, source::BIGINT AS source, shared, n_passage, n_source, jaccard, containment FROM q")
 def shingle_overlaps(t: Tables) -> DataFrame:
     """Passages and sources that share a five-word shingle, with exact Jaccard and containment."""
-    return reuse.pair_overlaps(base.once(reuse.shingles(passages(t))), base.once(reuse.shingles(sources(t))))
+    return reuse.pair_overlaps(once(reuse.shingles(passages(t))), once(reuse.shingles(sources(t))))
 
 
 @query(f"WITH {_TOKENS.strip()} SELECT case_id, passage, source::BIGINT AS source, shared, round_even(jaccard, 4) AS jaccard, round_even(containment, 4) AS containment, round_even(passage_containment, 4) AS passage_containment FROM v")
 def verbatim_reuse(t: Tables) -> DataFrame:
     """A1: passages that copy sources, by the union of the accepted ones."""
-    return reuse.verbatim(base.once(reuse.shingles(passages(t))), base.once(reuse.shingles(sources(t))))
+    return reuse.verbatim(once(reuse.shingles(passages(t))), once(reuse.shingles(sources(t))))
 
 
 @query()
 def reuse_scores(t: Tables) -> DataFrame:
     """A2, A3, C4: merged covered characters and the share of each document's text that copies."""
-    left, right = base.once(reuse.shingles(passages(t))), base.once(reuse.shingles(sources(t)))
+    left, right = once(reuse.shingles(passages(t))), once(reuse.shingles(sources(t)))
     ranges = reuse.covered_ranges(left, right, reuse.verbatim(left, right), ["case_id"])
     return reuse.score(ranges, passages(t))
 
