@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import tempfile
 import threading
@@ -68,6 +69,14 @@ def discard(spark: SparkSession, before: list[str], *keep: DataFrame) -> None:
     _own.paths = [path for path in tables() if path in stay]
 
 
+def give_back() -> None:
+    """Hand what a task has freed back to the system: a worker lives on, and what it holds counts against its executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch] | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -79,6 +88,7 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch |
                     yield from out
                 elif out is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(over, schema)
 

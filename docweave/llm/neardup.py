@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from .common import Recent, discard, map_batches, prepare, tables, written
+from .common import Recent, discard, give_back, map_batches, prepare, tables, written
 from .components import components
 
 ROWS_PER_BAND = 4
@@ -63,7 +63,7 @@ def word_hash(word: bytes) -> int:
 
 
 #: Hashes of the words that a worker met lately.
-word_hashes = Recent(word_hash, 200_000)
+word_hashes = Recent(word_hash, 50_000)
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -221,8 +221,9 @@ def fine_sketches(sets: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [s.values.to_numpy().view(np.uint64) for s in batch.column(1)]
-        sketches = odd_sketch(minhashes(own, 29, FINE_SAMPLES), FINE_BITS)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sketches], pa.binary())], names=["node", "sketch"])
+        # a few at a time: each sample of each set is a number
+        sketches = [s.tobytes() for k in range(0, len(own), 64) for s in odd_sketch(minhashes(own[k : k + 64], 29, FINE_SAMPLES), FINE_BITS)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sketches, pa.binary())], names=["node", "sketch"])
 
     return map_batches(sets.select("node", "shingles"), rows, "node long, sketch binary")
 
@@ -253,6 +254,7 @@ def by_chunk(df: DataFrame, pairs: Callable[[pa.RecordBatch, np.ndarray], Iterat
             else:
                 rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             if rows is None:
+                give_back()
                 return
             key = rows.column("bucket").to_numpy(), rows.column("chunk").to_numpy()
             starts = np.flatnonzero(np.r_[True, (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])])
@@ -265,6 +267,7 @@ def by_chunk(df: DataFrame, pairs: Callable[[pa.RecordBatch, np.ndarray], Iterat
                 node = rows.column("node")
                 for u, v in pairs(rows, starts):
                     yield pa.RecordBatch.from_arrays([node.take(pa.array(u)), node.take(pa.array(v))], names=["u", "v"])
+        give_back()
 
     # by ranges: a chunk stays whole, and tasks have about as many rows each, where hashes would put several large chunks in one
     df = df.repartitionByRange("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
