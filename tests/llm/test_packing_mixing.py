@@ -150,3 +150,13 @@ def test_mixed_rows_of_one_id_in_two_sources(spark):
     got = Counter((r.doc_id, r.source) for r in mixing.mixed(docs).collect())
     assert got == +want and max(got[7, "s0"], got[7, "s1"]) <= 2
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def test_marks_after_letters_are_no_new_words():
+    """Ids are those of whole texts, while words that differ in the marks at their ends are encoded once."""
+    coder = packing.Encoder(tokenizer_path())
+    texts = ["word word$$$ word&&& Word!! word-word a.'s it's it''s x='ll (y)'t z≠ á. é.b q_r 1.2 3a.4 ok:“no”.", "w.,;:!?x [a]b {c}`d ~e^f g\\h i/j k@l m#n", "say <|endoftext|> a$b", "ǅ.x İ, i̇. K$"]
+    for text in texts:
+        ids, ends = coder(pa.array([text]))
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids and ends.tolist() == [0, len(ids)]
+    assert "word$$$" not in coder.words and "word" in coder.words
